@@ -93,3 +93,10 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """Mark a cut table for broadcast if its counted rows fit ``limit`` bytes; else leave the join to shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
