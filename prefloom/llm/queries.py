@@ -5,18 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.near_duplicates import near_duplicate_groups
 from prefloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a test sample that are the same or nearly so."""
+    pairs = cross_split_overlaps(table(spark, sf_dir, "samples"))
+    return pairs.select(
+        F.least("train_id", "test_id").alias("sample_id_a"), F.greatest("train_id", "test_id").alias("sample_id_b")
+    ).distinct()
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping samples for each split and source."""
+    rows = table(spark, sf_dir, "samples")
+    return overlap_report(rows, cross_split_overlaps(rows))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of near-duplicate prompts."""
     return near_duplicate_groups(table(spark, sf_dir, "samples"), "sample_id", "prompt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    names = (p1_found, p1_report, p4_found)
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
