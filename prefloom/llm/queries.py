@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.near_duplicates import near_duplicate_groups
+from prefloom.llm.truncation import truncated_fields, truncation_report
 from prefloom.session import table
 
 
@@ -26,13 +27,24 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(rows, cross_split_overlaps(rows))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields whose text is cut off."""
+    return truncated_fields(table(spark, sf_dir, "samples")).select("sample_id", "field")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts each field."""
+    rows = table(spark, sf_dir, "samples")
+    return truncation_report(rows, truncated_fields(rows))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of near-duplicate prompts."""
     return near_duplicate_groups(table(spark, sf_dir, "samples"), "sample_id", "prompt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p4_found)
+    names = (p1_found, p1_report, p3_found, p3_report, p4_found)
     return {f.__name__: f for f in names}
 
 
