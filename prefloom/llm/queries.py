@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.near_duplicates import near_duplicate_groups
+from prefloom.llm.pair_defects import pair_defects
 from prefloom.llm.truncation import truncated_fields, truncation_report
 from prefloom.session import table
 
@@ -43,8 +44,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "samples"), "sample_id", "prompt")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that are no proper answer, with their defects."""
+    return pair_defects(table(spark, sf_dir, "samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p3_found, p3_report, p4_found)
+    names = (p1_found, p1_report, p3_found, p3_report, p4_found, p5_found)
     return {f.__name__: f for f in names}
 
 
