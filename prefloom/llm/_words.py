@@ -155,6 +155,11 @@ def minima(values: np.ndarray, first: np.ndarray, count: int, seed: int = 1) ->
     return out
 
 
+def two_words(signature: np.ndarray) -> np.ndarray:
+    """128 min-hashes as a sketch of two 64-bit words."""
+    return np.stack([one_bit(signature[:, :64]), one_bit(signature[:, 64:])], axis=1)
+
+
 def one_bit(signature: np.ndarray) -> np.ndarray:
     """64 min-hashes as a 64-bit sketch: one scrambled bit of each."""
     bits = (signature[:, :64] * np.uint32(0x9E3779B1)) >> np.uint32(31)
