@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.near_duplicates import near_duplicate_groups
 from prefloom.llm.pair_defects import pair_defects
+from prefloom.llm.reading_level import level_profile, unsuited_levels
 from prefloom.llm.truncation import truncated_fields, truncation_report
 from prefloom.session import table
 
@@ -49,8 +50,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(table(spark, sf_dir, "samples"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose chosen text doesn't suit the reader their task names."""
+    samples, tasks, examples = (table(spark, sf_dir, t) for t in ("samples", "tasks", "level_examples"))
+    return unsuited_levels(samples, tasks, examples).select("sample_id", "reading_level")
+
+
+def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading levels of each dataset's chosen texts."""
+    return level_profile(table(spark, sf_dir, "samples"), table(spark, sf_dir, "level_examples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p3_found, p3_report, p4_found, p5_found)
+    names = (p1_found, p1_report, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile)
     return {f.__name__: f for f in names}
 
 
