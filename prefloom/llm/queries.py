@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.near_duplicates import near_duplicate_groups
+from prefloom.llm.packing import pack, packing_report, token_counts
 from prefloom.llm.pair_defects import pair_defects
 from prefloom.llm.reading_level import level_profile, unsuited_levels
 from prefloom.llm.truncation import truncated_fields, truncation_report
+from prefloom.llm.varied_subset import varied_subsets
 from prefloom.session import table
 
 
@@ -29,6 +31,11 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(rows, cross_split_overlaps(rows))
 
 
+def p2_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The varied subset of each request."""
+    return varied_subsets(table(spark, sf_dir, "samples"), table(spark, sf_dir, "subset_requests"), table(spark, sf_dir, "tasks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields whose text is cut off."""
     return truncated_fields(table(spark, sf_dir, "samples")).select("sample_id", "field")
@@ -61,8 +68,18 @@ def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_profile(table(spark, sf_dir, "samples"), table(spark, sf_dir, "level_examples"))
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, for each capacity."""
+    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "pack_sizes"), "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile)
+    names = (p1_found, p1_report, p2_subsets, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile, p7_packing, p7_report)
     return {f.__name__: f for f in names}
 
 
