@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
+from prefloom.llm.languages import document_languages, mislabelled
 from prefloom.llm.near_duplicates import near_duplicate_groups
 from prefloom.llm.packing import pack, packing_report, token_counts
 from prefloom.llm.pair_defects import pair_defects
@@ -78,8 +79,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of mixed documents and of documents with a missing or wrong label."""
+    return mislabelled(document_languages(table(spark, sf_dir, "documents"))).select("doc_id", "seg_no", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of every document with its language and confidence."""
+    return document_languages(table(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p2_subsets, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile, p7_packing, p7_report)
+    names = (p1_found, p1_report, p2_subsets, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile, p7_packing, p7_report, p9_found, p9_languages)
     return {f.__name__: f for f in names}
 
 
