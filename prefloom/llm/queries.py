@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
 from prefloom.llm.languages import document_languages, mislabelled
+from prefloom.llm.leakage import leak_report, leaked_items
 from prefloom.llm.near_duplicates import near_duplicate_groups
 from prefloom.llm.packing import pack, packing_report, token_counts
 from prefloom.llm.pair_defects import pair_defects
@@ -79,6 +80,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items they hold."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each evaluation item leaked."""
+    items = table(spark, sf_dir, "eval_items")
+    return leak_report(leaked_items(table(spark, sf_dir, "documents"), items), items)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of mixed documents and of documents with a missing or wrong label."""
     return mislabelled(document_languages(table(spark, sf_dir, "documents"))).select("doc_id", "seg_no", "lang")
@@ -90,7 +102,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_report, p2_subsets, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile, p7_packing, p7_report, p9_found, p9_languages)
+    names = (p1_found, p1_report, p2_subsets, p3_found, p3_report, p4_found, p5_found, p6_found, p6_profile, p7_packing, p7_report, p8_found, p8_report, p9_found, p9_languages)
     return {f.__name__: f for f in names}
 
 
