@@ -33,7 +33,7 @@ PLACEHOLDERS = frozenset(
 #: Abbreviations whose stop ends no sentence.
 ABBREVIATIONS = frozenset("cf mr mrs ms dr prof st vs viz approx bzw z.b u.a d.h ca e.g i.e p.ex bijv sr sra dhr mevr т.е т.к".split())
 
-_TRAIL = " \t\r\n\v\f ​‌‍⁠﻿"
+_TRAIL = " \t\r\n\v\f\u00a0\u200b\u200c\u200d\u2060\ufeff"
 _TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>|<!--|-->")
 _MARKS = re.compile(r"```|[<()\[\]{}«»“”\"\n.?!]")
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|[a-zA-Z][.)])(?:\s+|$)")
@@ -111,7 +111,7 @@ def open_marks(text: str) -> tuple[list[tuple[str, int]], int]:
 def _symbols(s: str) -> str:
     """Drop emoji and other symbols from the end."""
     i = len(s)
-    while i and (s[i - 1] in _TRAIL or s[i - 1] in "️‍" or ord(s[i - 1]) > 0x2190 and not s[i - 1].isalnum() and s[i - 1] not in "�。？！…"):
+    while i and (s[i - 1] in _TRAIL or s[i - 1] in "\ufe0f\u200d" or ord(s[i - 1]) > 0x2190 and not s[i - 1].isalnum() and s[i - 1] not in "\ufffd。？！…"):
         i -= 1
     return s[:i]
 
@@ -122,7 +122,7 @@ def verdict(text: str | None) -> tuple[int, str, str]:
         return COMPLETE, "", ""
     assert text is not None
     s = text.rstrip(_TRAIL)
-    if s.endswith("�") or _ESCAPE.search(s[-80:]):
+    if s.endswith("\ufffd") or _ESCAPE.search(s[-80:]):
         return CUT, "", ""
     stack, _ = open_marks(s)
     if any(m == "```" for m, _ in stack):
