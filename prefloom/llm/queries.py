@@ -106,5 +106,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in names}
 
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_ONE = "o AS (SELECT sample_id, split, prompt, chosen, rejected FROM samples QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at)=1)"
+
+
+def _likeness(fields: tuple[str, ...], cross: bool) -> str:
+    """Pairs whose word pairs are alike to 0.6 or more, by counting shared word pairs of all rows."""
+    lists = " UNION ALL ".join(f"SELECT sample_id, split, {_WORDS.format(f)} AS w FROM o WHERE {f} IS NOT NULL" for f in fields)
+    side = " AND a.split <> b.split" if cross else ""
+    return (
+        f"{_ONE}, l AS ({lists}), g AS (SELECT DISTINCT sample_id, split, w[i] AS x, w[i+1] AS y FROM (SELECT sample_id, split, w, unnest(generate_series(1, len(w)-1)) AS i FROM l WHERE len(w) > 1)),"
+        " n AS (SELECT sample_id, count(*) AS n FROM g GROUP BY 1),"
+        f" c AS (SELECT a.sample_id AS a, b.sample_id AS b, count(*) AS c FROM g a JOIN g b ON a.x=b.x AND a.y=b.y AND a.sample_id < b.sample_id{side} GROUP BY ALL),"
+        " e AS (SELECT a, b FROM c JOIN n p ON p.sample_id=a JOIN n q ON q.sample_id=b WHERE c >= 0.6::double*(p.n+q.n-c) - 1e-9)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_likeness(('prompt', 'chosen', 'rejected'), True)} SELECT a AS sample_id_a, b AS sample_id_b FROM e",
+        "p4_found": f"WITH RECURSIVE {_likeness(('prompt',), False)}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
+        " r(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.node=s.a) SELECT node AS sample_id, min(root) AS group_id FROM r GROUP BY 1",
+    }
