@@ -87,11 +87,11 @@ def whiten(df: DataFrame, array: str, length: str, out: str, shift_mean: bool =
     unbiased variance) and joined back, so no batch is gathered in one task.
     """
     inside = F.filter(F.transform(F.col(array), lambda x, i: F.when(i <= F.col(length) + F.lit(extra), x)), lambda x: x.isNotNull())
-    moments = df.select(*(batch or []), F.explode(inside).alias("x")).groupBy(*(batch or [])).agg(F.avg("x").alias("_mean"), F.var_samp("x").alias("_var"))
+    moments = df.select(*(batch or []), F.explode(inside).alias("x")).groupBy(*(batch or [])).agg(F.avg("x").alias("_pf_mean"), F.var_samp("x").alias("_pf_var"))
     joined = df.join(moments, batch) if batch else df.join(F.broadcast(moments), F.lit(True))  # without groups: one row
-    scaled = lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + F.lit(1e-8)) + (F.lit(0.0) if shift_mean else F.col("_mean"))
+    scaled = lambda x: (x - F.col("_pf_mean")) / F.sqrt(F.col("_pf_var") + F.lit(1e-8)) + (F.lit(0.0) if shift_mean else F.col("_pf_mean"))
     value = F.transform(F.col(array), lambda x, i: F.when(i <= F.col(length) + F.lit(extra), scaled(x)).otherwise(F.lit(0.0)))
-    return joined.withColumn(out, value).drop("_mean", "_var")
+    return joined.withColumn(out, value).drop("_pf_mean", "_pf_var")
 
 
 def plasticity(logprobs: Column, rewards: Column, mask: Column, threshold: float = 0.5, upper: float = 2.0, lower: float = 0.2) -> Column:

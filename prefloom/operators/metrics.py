@@ -36,9 +36,9 @@ def prefixed(metrics: DataFrame) -> DataFrame:
 
 def mean_eval_reward(scores: DataFrame, batch: int) -> DataFrame:
     """Mean score of each dataset over full batches only (row_idx counts from 0); null if there is none."""
-    full = scores.groupBy("dataset_idx").agg((F.floor(F.count("*") / batch) * batch).alias("_use"))
-    joined = scores.join(full, "dataset_idx").withColumn("_s", F.when(F.col("row_idx") < F.col("_use"), F.col("score")))
-    return joined.groupBy("dataset_idx").agg(F.avg("_s").alias("mean_reward"), F.count("_s").alias("used"))
+    full = scores.groupBy("dataset_idx").agg((F.floor(F.count("*") / batch) * batch).alias("_pf_use"))
+    joined = scores.join(full, "dataset_idx").withColumn("_pf_s", F.when(F.col("row_idx") < F.col("_pf_use"), F.col("score")))
+    return joined.groupBy("dataset_idx").agg(F.avg("_pf_s").alias("mean_reward"), F.count("_pf_s").alias("used"))
 
 
 def top_importance(fisher: DataFrame, n: int = 20) -> DataFrame:
@@ -56,8 +56,8 @@ def drift_penalty(importance: DataFrame, before: DataFrame, now: DataFrame, weig
     """One row: weight (halved for ewc) times the importance-weighted squared change of all parameters (name, idx, theta)."""
     factor = {"ewc": weight / 2, "mas": weight}[kind]
     keys = ["name", "idx"]
-    joined = importance.join(before.withColumnRenamed("theta", "_old"), keys).join(now.withColumnRenamed("theta", "_new"), keys)
-    gap = (F.col("_new") - F.col("_old")) * (F.col("_new") - F.col("_old"))
+    joined = importance.join(before.withColumnRenamed("theta", "_pf_old"), keys).join(now.withColumnRenamed("theta", "_pf_new"), keys)
+    gap = (F.col("_pf_new") - F.col("_pf_old")) * (F.col("_pf_new") - F.col("_pf_old"))
     return joined.agg((F.coalesce(F.sum(F.col("value") * gap), F.lit(0.0)) * F.lit(factor)).alias("penalty"))
 
 

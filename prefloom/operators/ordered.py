@@ -19,23 +19,23 @@ def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: lis
     Rows with a null order come last.  Also adds nothing else; groups that are null form a group.
     """
     value = F.col(order) if isinstance(order, str) else order
-    x = df.withColumn("_order", value.cast("double"))
-    bounds = x.groupBy(*groups).agg(F.min("_order").alias("_low"), F.max("_order").alias("_high"))
-    keys = [f"_g{i}" for i in range(len(groups))]
-    bounds = bounds.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), "_low", "_high")
+    x = df.withColumn("_pf_order", value.cast("double"))
+    bounds = x.groupBy(*groups).agg(F.min("_pf_order").alias("_pf_low"), F.max("_pf_order").alias("_pf_high"))
+    keys = [f"_pf_g{i}" for i in range(len(groups))]
+    bounds = bounds.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), "_pf_low", "_pf_high")
     match = F.lit(True)
     for g, k in zip(groups, keys, strict=True):
         match = match & F.col(g).eqNullSafe(F.col(k))
-    width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(F.lit(1.0))
-    part = F.least(F.lit(ranges - 1), F.floor((F.col("_order") - F.col("_low")) / width * ranges)).cast("int")
+    width = F.when(F.col("_pf_high") > F.col("_pf_low"), F.col("_pf_high") - F.col("_pf_low")).otherwise(F.lit(1.0))
+    part = F.least(F.lit(ranges - 1), F.floor((F.col("_pf_order") - F.col("_pf_low")) / width * ranges)).cast("int")
     # without groups there is one row of bounds; with groups one a group
-    x = (x.join(bounds, match) if groups else x.join(F.broadcast(bounds), F.lit(True))).withColumn("_range", F.coalesce(part, F.lit(ranges))).drop(*keys, "_low", "_high")
-    counts = x.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    match = F.col("_range") == F.col("_r")
+    x = (x.join(bounds, match) if groups else x.join(F.broadcast(bounds), F.lit(True))).withColumn("_pf_range", F.coalesce(part, F.lit(ranges))).drop(*keys, "_pf_low", "_pf_high")
+    counts = x.groupBy(*groups, "_pf_range").agg(F.count("*").alias("_pf_n"))
+    before = Window.partitionBy(*groups).orderBy("_pf_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col("_pf_range").alias("_pf_r"), F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_before"))
+    match = F.col("_pf_range") == F.col("_pf_r")
     for g, k in zip(groups, keys, strict=True):
         match = match & F.col(g).eqNullSafe(F.col(k))
-    local = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(F.col("_order").asc_nulls_last(), *ties))
-    x = x.withColumn("_local", local).join(counts, match)
-    return x.withColumn(out, F.col("_before") + F.col("_local")).drop("_order", "_range", "_r", "_before", "_local", *keys)
+    local = F.row_number().over(Window.partitionBy(*groups, "_pf_range").orderBy(F.col("_pf_order").asc_nulls_last(), *ties))
+    x = x.withColumn("_pf_local", local).join(counts, match)
+    return x.withColumn(out, F.col("_pf_before") + F.col("_pf_local")).drop("_pf_order", "_pf_range", "_pf_r", "_pf_before", "_pf_local", *keys)

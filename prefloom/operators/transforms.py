@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from prefloom.functions.rng import hash_uniform
 from prefloom.functions.text import category, word_count
 from prefloom.operators.ordered import rank_within
+from prefloom.session import cut
 
 
 class DatasetTransform:
@@ -59,8 +60,8 @@ def swap_by_verdict(df: DataFrame, scores: DataFrame, keys: Sequence[str] = ("da
 
     ``scores`` has the keys and ``score``, one row a key; it is joined by key, never by position.
     """
-    verdict = scores.where(F.col("score").isin(0.0, 1.0)).select(*keys, F.col("score").alias("_score"))
-    return swap_where(df.join(verdict, list(keys), "left"), F.col("_score") == 0.0).drop("_score")
+    verdict = scores.where(F.col("score").isin(0.0, 1.0)).select(*keys, F.col("score").alias("_pf_score"))
+    return swap_where(df.join(verdict, list(keys), "left"), F.col("_pf_score") == 0.0).drop("_pf_score")
 
 
 class PreferenceSwap(DatasetTransform):
@@ -85,9 +86,9 @@ def split(df: DataFrame, test_ratio: float) -> DataFrame:
 def split_at(df: DataFrame, train_frac: float | Column) -> DataFrame:
     """Add ``split`` by position: rank by sample_idx within dataset_idx, train up to int(train_frac * n)."""
     frac = F.lit(_share("the train fraction", train_frac)) if isinstance(train_frac, int | float) else train_frac
-    sizes = df.groupBy("dataset_idx").agg(F.count("*").alias("_size"))
-    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_rank").join(sizes, "dataset_idx")
-    return ranked.withColumn("split", F.when(F.col("_rank") <= (frac * F.col("_size")).cast("long"), "train").otherwise("test")).drop("_rank", "_size")
+    sizes = df.groupBy("dataset_idx").agg(F.count("*").alias("_pf_size"))
+    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_pf_rank").join(sizes, "dataset_idx")
+    return ranked.withColumn("split", F.when(F.col("_pf_rank") <= (frac * F.col("_pf_size")).cast("long"), "train").otherwise("test")).drop("_pf_rank", "_pf_size")
 
 
 class Split(DatasetTransform):
@@ -110,9 +111,9 @@ def resplit_compatible(df: DataFrame) -> DataFrame:
     Rows are ordered train first, then by sample_idx, and numbered anew.
     """
     order = F.when(F.col("split") == "train", 0).otherwise(1)
-    ranked = rank_within(df, ["dataset_idx", "split"], "sample_idx", ["sample_idx"], "_r")
-    train = df.groupBy("dataset_idx").agg(F.sum(1 - order).alias("_t"))
-    numbered = ranked.join(train, "dataset_idx").withColumn("sample_idx", F.col("_r") - 1 + order * F.col("_t")).drop("_r", "_t")
+    ranked = rank_within(df, ["dataset_idx", "split"], "sample_idx", ["sample_idx"], "_pf_place")
+    train = df.groupBy("dataset_idx").agg(F.sum(1 - order).alias("_pf_t"))
+    numbered = ranked.join(train, "dataset_idx").withColumn("sample_idx", F.col("_pf_place") - 1 + order * F.col("_pf_t")).drop("_pf_place", "_pf_t")
     return split_at(numbered.join(stored_fractions(df), "dataset_idx").drop("split"), F.col("train_frac")).drop("train_frac")
 
 
@@ -123,8 +124,8 @@ def merge(first: DataFrame, *more: DataFrame) -> DataFrame:
     """
     out = first
     for df in more:
-        shift = out.agg((F.coalesce(F.max("dataset_idx"), F.lit(-1)) + 1).alias("_shift"))
-        moved = df.join(F.broadcast(shift), F.lit(True)).withColumn("dataset_idx", (F.col("dataset_idx") + F.col("_shift")).cast("int")).drop("_shift")  # one row
+        shift = out.agg((F.coalesce(F.max("dataset_idx"), F.lit(-1)) + 1).alias("_pf_shift"))
+        moved = df.join(F.broadcast(shift), F.lit(True)).withColumn("dataset_idx", (F.col("dataset_idx") + F.col("_pf_shift")).cast("int")).drop("_pf_shift")  # one row
         out = out.unionByName(moved)
     return out
 
@@ -139,12 +140,12 @@ def append(series: DataFrame, dataset: DataFrame) -> DataFrame:
 
 def with_global_index(df: DataFrame) -> DataFrame:
     """Add ``global_idx``, counted from 0 over all datasets in order of (dataset_idx, sample_idx)."""
-    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_rank")
-    sizes = df.groupBy("dataset_idx").agg(F.count("*").alias("_size"))  # one row a dataset
+    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_pf_rank")
+    sizes = df.groupBy("dataset_idx").agg(F.count("*").alias("_pf_size"))  # one row a dataset
     from pyspark.sql import Window
 
-    before = sizes.select("dataset_idx", F.coalesce(F.sum("_size").over(Window.orderBy("dataset_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranked.join(before, "dataset_idx").withColumn("global_idx", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
+    before = sizes.select("dataset_idx", F.coalesce(F.sum("_pf_size").over(Window.orderBy("dataset_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pf_before"))
+    return ranked.join(before, "dataset_idx").withColumn("global_idx", F.col("_pf_before") + F.col("_pf_rank") - 1).drop("_pf_before", "_pf_rank")
 
 
 def take_slice(df: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -164,7 +165,7 @@ def take_at(df: DataFrame, index: int) -> DataFrame:
 
 def take_first(df: DataFrame, amount: int, groups: Sequence[str] = ("dataset_idx",)) -> DataFrame:
     """At most ``amount`` rows of each group, by sample_idx."""
-    return rank_within(df, list(groups), "sample_idx", ["sample_idx"], "_rank").where(F.col("_rank") <= amount).drop("_rank")
+    return rank_within(df, list(groups), "sample_idx", ["sample_idx"], "_pf_rank").where(F.col("_pf_rank") <= amount).drop("_pf_rank")
 
 
 def stratified_sample(
@@ -180,15 +181,15 @@ def stratified_sample(
     Rows keep their split; ``sample_order`` counts the sampled rows of each stratum from 1 in their drawn order.
     """
     _share("a ratio", ratio_train), _share("a ratio", ratio_test)
-    sizes = df.groupBy("dataset_idx", "split").agg(F.count("*").alias("_n"))
+    sizes = df.groupBy("dataset_idx", "split").agg(F.count("*").alias("_pf_n"))
 
     def wanted(ratio: float, amount: int | None) -> Column:
-        return (F.lit(float(ratio)) * F.col("_n")).cast("long") if amount is None else F.lit(amount).cast("long")
+        return (F.lit(float(ratio)) * F.col("_pf_n")).cast("long") if amount is None else F.lit(amount).cast("long")
 
-    k = F.least(F.col("_n"), F.when(F.col("split") == "train", wanted(ratio_train, amount_train)).otherwise(wanted(ratio_test, amount_test)))
-    sizes = sizes.withColumn("_k", k).drop("_n")
+    k = F.least(F.col("_pf_n"), F.when(F.col("split") == "train", wanted(ratio_train, amount_train)).otherwise(wanted(ratio_test, amount_test)))
+    sizes = sizes.withColumn("_pf_k", k).drop("_pf_n")
     drawn = rank_within(df, ["dataset_idx", "split"], hash_uniform(seed, "dataset_idx", "sample_idx"), ["sample_idx"], "sample_order")
-    return drawn.join(sizes, ["dataset_idx", "split"]).where(F.col("sample_order") <= F.col("_k")).drop("_k")
+    return drawn.join(sizes, ["dataset_idx", "split"]).where(F.col("sample_order") <= F.col("_pf_k")).drop("_pf_k")
 
 
 def quality_filter(df: DataFrame, least_words: int = 5) -> DataFrame:
@@ -207,20 +208,20 @@ def in_batches(df: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
     """Add ``batch``, counted from 0, of ``size`` rows in sample order within each dataset; the last may be short or left out."""
     if size <= 0:
         raise ValueError("a batch has at least one row")
-    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size))
+    ranked = rank_within(df, ["dataset_idx"], "sample_idx", ["sample_idx"], "_pf_rank").withColumn("batch", F.floor((F.col("_pf_rank") - 1) / size))
     if drop_last:
-        full = df.groupBy("dataset_idx").agg(F.floor(F.count("*") / size).alias("_full"))
-        ranked = ranked.join(full, "dataset_idx").where(F.col("batch") < F.col("_full")).drop("_full")
-    return ranked.drop("_rank")
+        full = df.groupBy("dataset_idx").agg(F.floor(F.count("*") / size).alias("_pf_full"))
+        ranked = ranked.join(full, "dataset_idx").where(F.col("batch") < F.col("_pf_full")).drop("_pf_full")
+    return ranked.drop("_pf_rank")
 
 
 def minibatches(df: DataFrame, size: int, seed: int = 0, drop_last: bool = True) -> DataFrame:
     """A random permutation of each dataset cut into minibatches; ``place`` is the row's place in its permutation, from 0."""
-    ranked = rank_within(df, ["dataset_idx"], hash_uniform(seed, "dataset_idx", "sample_idx"), ["sample_idx"], "_rank").withColumn("place", F.col("_rank") - 1)
-    ranked = ranked.withColumn("batch", F.floor(F.col("place") / size)).drop("_rank")
+    ranked = rank_within(df, ["dataset_idx"], hash_uniform(seed, "dataset_idx", "sample_idx"), ["sample_idx"], "_pf_rank").withColumn("place", F.col("_pf_rank") - 1)
+    ranked = ranked.withColumn("batch", F.floor(F.col("place") / size)).drop("_pf_rank")
     if drop_last:
-        full = df.groupBy("dataset_idx").agg(F.floor(F.count("*") / size).alias("_full"))
-        ranked = ranked.join(full, "dataset_idx").where(F.col("batch") < F.col("_full")).drop("_full")
+        full = df.groupBy("dataset_idx").agg(F.floor(F.count("*") / size).alias("_pf_full"))
+        ranked = ranked.join(full, "dataset_idx").where(F.col("batch") < F.col("_pf_full")).drop("_pf_full")
     return ranked
 
 
@@ -243,19 +244,18 @@ def replay_buffer(df: DataFrame, ratio: float | None = None, per_task: int | Non
     sizes = {r[0]: r[1] for r in df.groupBy("dataset_idx").count().collect()}
     keep = {t: min(sizes[t], max(1, int(sizes[t] * ratio)) if ratio is not None else (per_task or capacity)) for t in steps}
     spark = df.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(list(keep.items()), "dataset_idx int, _k long")) if steps else None
+    wanted = F.broadcast(spark.createDataFrame(list(keep.items()), "dataset_idx int, _pf_k long")) if steps else None
     if wanted is None:
         return df.withColumn("after", F.col("dataset_idx")).limit(0)
-    # all additions at once; then one pass decides, for each row, after which datasets it is still held
-    first = rank_within(df, ["dataset_idx"], hash_uniform(f"{seed}-add", "dataset_idx", "sample_idx"), ["sample_idx"], "_rank")
-    added = first.join(wanted, "dataset_idx").where(F.col("_rank") <= F.col("_k")).drop("_rank", "_k")
+    first = rank_within(df, ["dataset_idx"], hash_uniform(f"{seed}-add", "dataset_idx", "sample_idx"), ["sample_idx"], "_pf_rank")
+    added = cut(first.join(wanted, "dataset_idx").where(F.col("_pf_rank") <= F.col("_pf_k")).drop("_pf_rank", "_pf_k"), "additions")
     out = None
     buffer = None
     for t in steps:
         new = added.where(F.col("dataset_idx") == t)
         buffer = new if buffer is None else buffer.unionByName(new)
-        # orderBy + limit is a top-k per partition followed by a merge, never a full sort
-        buffer = buffer.orderBy(hash_uniform(f"{seed}-keep-{t}", "dataset_idx", "sample_idx"), "dataset_idx", "sample_idx").limit(capacity)
+        # orderBy + limit is a top-k per partition followed by a merge, never a full sort; each step's lineage is cut
+        buffer = cut(buffer.orderBy(hash_uniform(f"{seed}-keep-{t}", "dataset_idx", "sample_idx"), "dataset_idx", "sample_idx").limit(capacity), "buffer")
         held = buffer.withColumn("after", F.lit(t))
         out = held if out is None else out.unionByName(held)
     return out

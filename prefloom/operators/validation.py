@@ -97,13 +97,13 @@ def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "div
     rows = rows.where(F.col(vector).isNotNull())
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-10))
-    units = rows.withColumn("_unit", F.transform(v, lambda x: x / norm))
-    sums = units.select(*groups, F.posexplode("_unit").alias("_d", "_x")).groupBy(*groups, "_d").agg(F.sum("_x").alias("_s"))
+    units = rows.withColumn("_pf_unit", F.transform(v, lambda x: x / norm))
+    sums = units.select(*groups, F.posexplode("_pf_unit").alias("_pf_d", "_pf_x")).groupBy(*groups, "_pf_d").agg(F.sum("_pf_x").alias("_pf_s"))
     # one short array a group
-    total = sums.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_s"))), lambda e: e["_s"]).alias("_sum"))
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
-    dot = F.aggregate(F.zip_with("_unit", "_sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return units.join(total, groups).join(sizes, groups).withColumn(value, F.lit(1.0) - dot / F.col("_n")).drop("_unit", "_sum", "_n")
+    total = sums.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pf_d", "_pf_s"))), lambda e: e["_pf_s"]).alias("_pf_sum"))
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_pf_n"))
+    dot = F.aggregate(F.zip_with("_pf_unit", "_pf_sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return units.join(total, groups).join(sizes, groups).withColumn(value, F.lit(1.0) - dot / F.col("_pf_n")).drop("_pf_unit", "_pf_sum", "_pf_n")
 
 
 def diversity_report(rows: DataFrame, vector: str, groups: list[str]) -> DataFrame:

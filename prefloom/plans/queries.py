@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from prefloom.operators import metrics as M
 from prefloom.operators import transforms as X
 from prefloom.operators import validation as V
 from prefloom.plans.views import ROLLOUT_SQL, SAMPLES_SQL, SCORES_SQL, rollouts, samples
-from prefloom.session import cut, table
+from prefloom.session import cut, shared_folder, table
 from prefloom.sources import json_io
 from prefloom.sources.tasks import resolved_components
 
@@ -485,7 +485,7 @@ def json_roundtrip(spark, d):
     s = samples(spark, d).where("dataset_idx in (0, 5, 30)")
     t = table(spark, d, "tasks").where("dataset_idx in (0, 5, 30)")
     place = F.when(F.col("dataset_idx") == 0, 0).when(F.col("dataset_idx") == 5, 1).otherwise(2)
-    path = tempfile.mkdtemp(prefix="prefloom-json-") + "/series.json"
+    path = f"{shared_folder(spark)}/prefloom-{uuid.uuid4().hex}.json"
     json_io.write_json(s.withColumn("dataset_idx", place), t.withColumn("dataset_idx", place), path)
     back = cut(json_io.read_json(spark, path)[0], "series")
     named = F.element_at(F.array(F.lit(0), F.lit(5), F.lit(30)), F.col("dataset_idx") + 1)
@@ -690,9 +690,6 @@ def reward_model_join(spark, d):
 
 # --- losses, chat, tokens --------------------------------------------------------------------------------------------
 
-_PAIRS = "p AS (SELECT score_id, sample_id, score::double/10 AS c, lead(score::double/10) OVER (ORDER BY score_id) AS r FROM (SELECT DISTINCT score_id, sample_id, score FROM judge_scores))"
-
-
 def _pairs(spark, d) -> DataFrame:
     rows = table(spark, d, "judge_scores").select("score_id", "sample_id", "score").distinct()
     c = rows.select("score_id", "sample_id", (F.col("score").cast("double") / 10).alias("c"))

@@ -39,7 +39,7 @@ def to_datasets(samples: DataFrame, tasks: DataFrame) -> DataFrame:
     lists = samples.groupBy("dataset_idx").agg(
         *(F.array_sort(F.collect_list(F.when(F.col("split") == s, one))).alias(s) for s in ("train", "test"))
     )  # a file's dataset is an array by its format
-    plain = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(DATASET["train"].dataType)), lambda x: F.struct(*(F.coalesce(x[f], F.lit("")).alias(f) for f in TEXT_FIELDS)))
+    plain = lambda c: F.transform(F.col(c), lambda x: F.struct(*(F.coalesce(x[f], F.lit("")).alias(f) for f in TEXT_FIELDS)))
     lists = lists.select("dataset_idx", plain("train").alias("train"), plain("test").alias("test"))
     joined = tasks.select("dataset_idx", F.struct("domain", "objective", "preference").alias("task")).join(lists, "dataset_idx", "left")
     empty = F.array().cast(DATASET["train"].dataType)
@@ -48,16 +48,22 @@ def to_datasets(samples: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def write_json(samples: DataFrame, tasks: DataFrame, path: str) -> None:
-    """Write one JSON document to a local path, dataset by dataset; the driver holds one dataset at a time.
+    """Write one JSON document to any path Spark can write, dataset by dataset; the driver holds one dataset at a time.
 
     The exchange format is a single document; for large series write Parquet.
     """
-    parts = to_datasets(samples, tasks).orderBy("dataset_idx").toLocalIterator()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"datasets": [')
-        for i, row in enumerate(parts):
-            f.write((", " if i else "") + row["json"])
-        f.write("]}")
+    spark = samples.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.setWriteChecksum(False)
+    f = files.create(target, True)
+    try:
+        f.write(b'{"datasets": [')
+        for i, row in enumerate(to_datasets(samples, tasks).orderBy("dataset_idx").toLocalIterator()):
+            f.write(((", " if i else "") + row["json"]).encode("utf-8"))
+        f.write(b"]}")
+    finally:
+        f.close()
 
 
 def write_splits(samples: DataFrame, path: str) -> None:
