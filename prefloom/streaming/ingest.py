@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a time with a zone; times without one are taken in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def once(stream: DataFrame, key: str, time: str, late: str = "30 days") -> DataFrame:
     """The first delivery of each key; state is kept for the time span ``late`` after the latest row."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def running_counts(stream: DataFrame, time: str, window: str = "1 day", late: str = "30 days") -> DataFrame:
     """Deliveries and mean text length for each window and source; a window closes once it is ``late`` behind."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), "source").agg(F.count("*").alias("rows"), F.avg(F.length("chosen")).alias("mean_length"))
+    return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, window), "source").agg(F.count("*").alias("rows"), F.avg(F.length("chosen")).alias("mean_length"))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "sample_id", time: str = "ingested_at", late: str = "30 days", available_now: bool = True) -> StreamingQuery:
