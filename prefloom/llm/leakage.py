@@ -49,6 +49,7 @@ class Shard:
     units: list[list[int]]
     items: list[list]
     pieces: np.ndarray
+    unit_pieces: list[frozenset]
 
 
 def split_item(text: str | None) -> tuple[str, str]:
@@ -113,8 +114,9 @@ def build_index(items: list[tuple]) -> list[Shard]:
                 own = sorted((float(weights[place[t], u]) for t in set(run)), reverse=True)
                 least[u] = min(least[u], sum(own[RUN // CHANGED :]))
         blocks = weights.reshape(len(terms) + 1, -1, BLOCK)
-        pieces = np.unique(np.concatenate([_grams(np.array(h, dtype=np.uint64), PIECE) for h in part]))
-        shards.append(Shard(terms, weights, blocks.max(axis=2), least, least.reshape(-1, BLOCK).min(axis=1), [list(h) for h in part], [units[h] for h in part], pieces))
+        own = [_grams(np.array(h, dtype=np.uint64), PIECE) for h in part]
+        pieces = np.unique(np.concatenate(own))
+        shards.append(Shard(terms, weights, blocks.max(axis=2), least, least.reshape(-1, BLOCK).min(axis=1), [list(h) for h in part], [units[h] for h in part], pieces, [frozenset(g.tolist()) for g in own]))
     return shards
 
 
@@ -182,6 +184,9 @@ def _retrieve(shard: Shard, w: W.Words) -> list[tuple[int, int, float, int, int]
             score += shard.weights[q[row, j][:, None], units]
         r, c = np.nonzero(score >= shard.least[units] - 1e-3)
         for i, k in zip(r.tolist(), c.tolist(), strict=True):
+            # the window must hold an unbroken piece of this very unit
+            if shard.unit_pieces[units[i, k]].isdisjoint(grams[s[row[i]] : e[row[i]] - PIECE + 1].tolist()):
+                continue
             out.append((int(text[b + row[i]]), int(units[i, k]), float(score[i, k]), int(s[row[i]]), int(e[row[i]])))
     return out
 
