@@ -134,8 +134,8 @@ def leaked_run(unit: list[int], text: list[int]) -> int:
         ok = np.flatnonzero(hit[size:] - hit[:-size] >= size - size // CHANGED)
         for i in ok:
             at = match[i : i + size]
-            at = at[at >= 0]
-            if at[-1] - at[0] + 1 <= size + size // CHANGED + 1:
+            # the run's own ends are there, and it lies close together in the text
+            if at[0] >= 0 and at[-1] >= 0 and at[-1] - at[0] + 1 <= size + size // CHANGED:
                 best = size
                 break
         if not len(ok) and best:

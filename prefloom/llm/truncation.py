@@ -11,6 +11,7 @@ the same closing phrase follows different texts, and the length limits each sour
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,54 +117,54 @@ def _symbols(s: str) -> str:
     return s[:i]
 
 
-def verdict(text: str | None) -> tuple[int, str, str]:
-    """(verdict, last word, closing phrase) of one text; the last two only where baselines must decide."""
+def verdict(text: str | None) -> tuple[int, str, str, int]:
+    """(verdict, last word, closing phrase, where it starts) of one text; all but the first only where baselines must decide."""
     if is_empty(text):
-        return COMPLETE, "", ""
+        return COMPLETE, "", "", 0
     assert text is not None
     s = text.rstrip(_TRAIL)
     if s.endswith("\ufffd") or _ESCAPE.search(s[-80:]):
-        return CUT, "", ""
+        return CUT, "", "", 0
     stack, _ = open_marks(s)
     if any(m == "```" for m, _ in stack):
-        return CUT, "", ""
+        return CUT, "", "", 0
     line = s[s.rfind("\n") + 1 :]
     if any(m == "<" and i >= len(s) - len(line) for m, i in stack):
-        return CUT, "", ""
+        return CUT, "", "", 0
     word = _LAST.search(s[-200:])
     last = word.group(1).lower() if word else ""
     if "\n" in s:
         if _ITEM.match(line):
             rest = line[_ITEM.match(line).end() :]
             if not _WORD.search(rest):
-                return CUT, "", ""
+                return CUT, "", "", 0
             if rest[-1] not in TERMINATORS and len(_WORD.findall(rest)) <= 12:
-                return ASK_ITEM, last, ""
+                return ASK_ITEM, last, "", 0
         elif _SIGNED.match(line) and line.lstrip()[0] in "—–-" or line.startswith("```") or _CODE.match(line) or _LABEL.match(line):
-            return COMPLETE, "", ""
+            return COMPLETE, "", "", 0
     if s.endswith("```") or re.search(r"</[A-Za-z][\w-]*>$", s):
-        return COMPLETE, "", ""
+        return COMPLETE, "", "", 0
     bare = _symbols(s)
     symbols = len(bare) < len(s) and not s.endswith("…")
     bare = bare.rstrip("\"'’”»)]}*_`" + _TRAIL)
     if not bare:
-        return COMPLETE, "", ""
+        return COMPLETE, "", "", 0
     if bare.endswith(("...", "…", "..")):
         body = bare.rstrip(".… ")
         edge = max(body.rfind(c) for c in TERMINATORS + "\n")
         phrase = re.sub(r"\W+", " ", body[edge + 1 :]).strip().lower()
-        return ASK_ELLIPSIS, last, phrase
+        return ASK_ELLIPSIS, last, phrase, edge + 1
     if bare[-1] in TERMINATORS:
         tail = bare[:-1].rsplit(None, 1)[-1].lower() if bare[:-1].strip() else ""
-        return (CUT if bare[-1] == "." and tail in ABBREVIATIONS else COMPLETE), "", ""
+        return (CUT if bare[-1] == "." and tail in ABBREVIATIONS else COMPLETE), "", "", 0
     # no terminator: the text's own style decides whether it should have one
     n = len(s)
     ends = len(re.findall(r"[.?!。](?=[\s\"'»”)]|$)", bare))
     if symbols and not ends:
-        return ASK_WORD, last, ""
+        return ASK_WORD, last, "", 0
     if ends == 0 or n / (ends + 1) > 600:
-        return ASK_WORD, last, ""
-    return CUT, "", ""
+        return ASK_WORD, last, "", 0
+    return CUT, "", "", 0
 
 
 _SCHEMA = "id {}, source string, field string, verdict int, word string, phrase string, before long, n_chars int, n_bytes int"
@@ -177,12 +178,12 @@ def _scan(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterato
         at = []
         for f, name in enumerate(fields):
             for i, text in enumerate(batch.column(f + 2).to_pylist()):
-                v, word, phrase = verdict(text)
+                v, word, phrase, start = verdict(text)
                 if v == COMPLETE:
                     continue
                 at.append(i)
                 # what stands before a closing phrase tells copies of one text from different texts
-                before = hash(text[: max(0, len(text) - len(phrase) - 12)][-60:]) if v == ASK_ELLIPSIS else 0
+                before = zlib.crc32(text[max(0, start - 60) : start].encode("utf-8", "replace")) if v == ASK_ELLIPSIS else 0
                 for column, value in zip(out, (name, v, word, phrase, before, len(text), len(text.encode("utf-8", "replace"))), strict=False):
                     column.append(value)
         take = pa.array(at, pa.int64())
