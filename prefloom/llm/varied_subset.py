@@ -3,9 +3,10 @@
 Method: distributed farthest-first k-center.  Every block of rows selects its own representatives
 greedily, representatives are pooled a few blocks at a time, and farthest-first runs again on each
 pool until one is left.  Greedy selections are prefixes of each other, so requests over the same rows share one
-run.  A prompt's point has a part for the tasks' seed words, weighted by their rarity, so that rare ones lie
-far out and are met early, and a part for all its words; similar prompts lie together and
-give one representative before any of them gives a second.
+run.  A prompt's point has a part for the tasks' seed words, weighted by their rarity, and a part for all its
+words; similar prompts lie together and give one representative before any of them gives a second.  While
+seed words are uncovered, a row's distance to the rows chosen is lengthened by the weights of those it would
+cover, so rare ones are met early.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from prefloom.llm import _words as W
 from prefloom.session import arrow_map, cut, ship
 
 SEED_DIMS, WORD_DIMS = 64, 32
+#: How much an uncovered seed word adds to a squared distance, as a multiple of its squared weight.
+COVER = 4.0
 #: Rows a block holds at least (four times the selection if that is more), and blocks that are pooled at once.
 BLOCK, FAN_IN = 16_384, 16
 #: Seed words beyond which the task tables are no small side tables any more.
@@ -35,9 +38,10 @@ def _signs(hashes: np.ndarray, dims: int, salt: int) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def points(texts: list[str | None], seeds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A point for each text; ``seeds`` are sorted word hashes with their ``weights``."""
+def points(texts: list[str | None], seeds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A point for each text and the numbers of its seed words; ``seeds`` are sorted word hashes with their ``weights``."""
     out = np.zeros((len(texts), SEED_DIMS + WORD_DIMS), dtype=np.float32)
+    held = [np.zeros(0, np.int32)] * len(texts)
     for s in W.chunks([texts]):
         w = W.words(texts[s])
         owner = w.owner()
@@ -50,17 +54,25 @@ def points(texts: list[str | None], seeds: np.ndarray, weights: np.ndarray) -> n
         some = np.diff(np.append(first, len(who))) > 0
         if len(seeds):
             at = np.minimum(np.searchsorted(seeds, word), len(seeds) - 1)
-            weight = np.where(seeds[at] == word, weights[at], 0).astype(np.float32)
+            hit = seeds[at] == word
+            weight = np.where(hit, weights[at], 0).astype(np.float32)
+            edges = np.searchsorted(who[hit], np.arange(n + 1))
+            numbers = at[hit].astype(np.int32)
+            for i in range(n):
+                held[s.start + i] = numbers[edges[i] : edges[i + 1]]
             # each seed word moves the point by its weight
             part = _signs(word, SEED_DIMS, 1) * (weight / np.sqrt(SEED_DIMS))[:, None]
             out[s.start + np.flatnonzero(some), :SEED_DIMS] = np.add.reduceat(part, first[some])
         part = np.add.reduceat(_signs(word, WORD_DIMS, 2), first[some])
         out[s.start + np.flatnonzero(some), SEED_DIMS:] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-6)
-    return out
+    return out, held
+
 
+def farthest_first(ids: np.ndarray, x: np.ndarray, k: int, held: list[np.ndarray] | None = None, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of ``k`` rows in the order chosen, and each one's distance to those before; ties go to the lesser id.
 
-def farthest_first(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of ``k`` rows in the order chosen, and each one's distance to those before; ties go to the lesser id."""
+    ``held`` are the seed words of each row and ``weights`` what they weigh.
+    """
     order = np.argsort(ids, kind="stable")
     order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))] if len(ids) else order
     y = np.ascontiguousarray(x[order])
@@ -70,42 +82,61 @@ def farthest_first(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray,
     picked = np.zeros(k, dtype=np.int64)
     far = np.zeros(k)
     nearest = np.full(n, np.inf, dtype=np.float32)
-    at = int(norm.argmax()) if n else 0
+    bonus = np.zeros(n, dtype=np.float32)
+    mine = [held[j] for j in order] if held is not None else []
+    if mine and weights is not None and len(weights):
+        worth = (COVER * weights * weights).astype(np.float32)
+        row = np.repeat(np.arange(n), [len(m) for m in mine])
+        number = np.concatenate(mine).astype(np.int64)
+        np.add.at(bonus, row, worth[number])
+        by = np.argsort(number, kind="stable")
+        row, first = row[by], np.searchsorted(number[by], np.arange(len(worth) + 1))
+        open_ = np.ones(len(worth), dtype=bool)
+    else:
+        mine = []
+    at = int((norm + bonus).argmax()) if n else 0
     for i in range(k):
         picked[i] = at
         far[i] = np.sqrt(max(0.0, float(nearest[at]))) if i else float("inf")
         # rounded, so that equal points stay equal whatever block they are computed in
         d = np.round(np.maximum(norm + norm[at] - 2 * (y @ y[at]), 0), 4)
         np.minimum(nearest, d, out=nearest)
-        nearest[at] = -1
-        at = int(nearest.argmax())
+        nearest[at] = -1e9
+        if mine:
+            for w in mine[at].tolist():
+                if open_[w]:
+                    open_[w] = False
+                    bonus[row[first[w] : first[w + 1]]] -= worth[w]
+        at = int((nearest + np.round(bonus, 4)).argmax())
     return order[picked], far
 
 
 def _select(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, weights: np.ndarray, sizes: dict) -> Iterator[pa.RecordBatch]:
     """(id, dataset, text) to the representatives of this task's rows, for each wanted dataset and for all (null)."""
-    held: dict = {g: ([], []) for g in sizes}
+    held: dict = {g: ([], [], []) for g in sizes}
 
     def reduce(g) -> None:
-        ids, x = np.concatenate(held[g][0]), np.concatenate(held[g][1])
-        at, _ = farthest_first(ids, x, sizes[g])
-        held[g] = ([ids[at]], [x[at]])
+        ids, x, words = np.concatenate(held[g][0]), np.concatenate(held[g][1]), held[g][2]
+        at, _ = farthest_first(ids, x, sizes[g], words, weights)
+        held[g] = ([ids[at]], [x[at]], [words[i] for i in at])
 
     for batch in batches:
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
         sets = np.array(batch.column(1).to_pylist(), dtype=object)
-        x = points(batch.column(2).to_pylist(), seeds, weights)
+        x, words = points(batch.column(2).to_pylist(), seeds, weights)
         for g, k in sizes.items():
-            sel = slice(None) if g is None else np.flatnonzero(sets == g)
+            sel = np.arange(len(ids)) if g is None else np.flatnonzero(sets == g)
             held[g][0].append(ids[sel])
             held[g][1].append(x[sel])
+            held[g][2].extend(words[i] for i in sel)
             if sum(map(len, held[g][0])) > max(BLOCK, 4 * k):
                 reduce(g)
     for g in held:
         if sum(map(len, held[g][0])):
             reduce(g)
             ids, x = held[g][0][0], held[g][1][0]
-            yield pa.record_batch([pa.array([g] * len(ids), pa.int64()), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], ["grp", "id", "point"])
+            columns = [pa.array([g] * len(ids), pa.int64()), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([w.tobytes() for w in held[g][2]], pa.binary())]
+            yield pa.record_batch(columns, ["grp", "id", "point", "words"])
 
 
 def _count_seeds(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,11 +154,11 @@ def _count_seeds(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterat
     yield pa.record_batch([pa.array(np.append(np.arange(len(seeds)), -1)), pa.array(np.append(total, rows))], ["seed", "n"])
 
 
-def _merge(pdf: pd.DataFrame, sizes: dict) -> pd.DataFrame:
+def _merge(pdf: pd.DataFrame, sizes: dict, weights: np.ndarray) -> pd.DataFrame:
     g = pdf["grp"].iloc[0]
     k = sizes[None if pd.isna(g) else int(g)]
     x = np.stack([np.frombuffer(b, np.float32) for b in pdf["point"]])
-    at, far = farthest_first(pdf["id"].to_numpy(), x, k)
+    at, far = farthest_first(pdf["id"].to_numpy(), x, k, [np.frombuffer(b, np.int32) for b in pdf["words"]], weights)
     out = pdf.iloc[at].copy()
     out["place"] = np.arange(1, len(at) + 1)
     out["distance"] = far
@@ -160,15 +191,15 @@ def varied_subsets(
     picked = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.col(text_col).alias("t"))
     if not any(g is None for g in sizes):
         picked = picked.where(F.col("g").isin(list(sizes)))
-    chosen = arrow_map(picked, lambda it: _select(it, seeds, weights, sizes), f"grp long, id {kind}, point binary").withColumn("block", F.spark_partition_id())
+    chosen = arrow_map(picked, lambda it: _select(it, seeds, weights, sizes), f"grp long, id {kind}, point binary, words binary").withColumn("block", F.spark_partition_id())
     chosen = cut(chosen, "representatives")
     blocks = (chosen.agg(F.max("block")).first()[0] or 0) + 1
     ship(spark)
-    schema = f"grp long, id {kind}, point binary, block int, place int, distance double"
+    schema = f"grp long, id {kind}, point binary, words binary, block int, place int, distance double"
     while True:
         blocks = -(-blocks // FAN_IN)
-        pooled = chosen.select("grp", "id", "point", (F.col("block") / FAN_IN).cast("int").alias("block"))
-        chosen = cut(pooled.groupBy("grp", "block").applyInPandas(lambda pdf: _merge(pdf, sizes), schema), "pool")
+        pooled = chosen.select("grp", "id", "point", "words", (F.col("block") / FAN_IN).cast("int").alias("block"))
+        chosen = cut(pooled.groupBy("grp", "block").applyInPandas(lambda pdf: _merge(pdf, sizes, weights), schema), "pool")
         if blocks == 1:
             break
     asked = spark.createDataFrame([(i, g, k) for i, g, k in wanted], "request_id int, grp long, size int")

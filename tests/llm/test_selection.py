@@ -44,7 +44,15 @@ def test_subsets(spark, monkeypatch):
     assert 17 in by[3]  # the rare seed word
     assert sum(i % 3 == 0 for i in by[2]) <= 6  # a third of the rows, at most a fifth of the choice
     far = [r.distance for r in sorted(out, key=lambda r: r.place) if r.request_id == 2]
-    assert far[0] is None and all(a >= b - 1e-6 for a, b in zip(far[1:], far[2:], strict=False))
+    assert far[0] is None and all(d > 0 for d in far[1:])
+
+
+def test_seed_words_are_covered_first():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 6)).astype(np.float32) * 0.1
+    held = [np.array([rng.integers(0, 3)] if i != 77 else [3, 4], dtype=np.int32) for i in range(500)]
+    at, _ = S.farthest_first(np.arange(500), x, 4, held, np.ones(5, np.float32))
+    assert at[0] == 77 and {int(w) for i in at for w in held[i]} == {0, 1, 2, 3, 4}
 
 
 def test_blocks_cost_little_cover(spark, monkeypatch):
