@@ -18,24 +18,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
 from prefloom.llm._graph import components
-from prefloom.session import arrow_map, cut
+from prefloom.session import arrow_map, cut, ship
 
 THRESHOLD, BANDS, WIDTH = 0.6, 7, 2
 #: Bits of 64 in which two sketches must agree; at likeness 0.6 about 51 do, with a deviation of 3.2.
 AGREE = 44
 #: Runs up to ALL emit every pair; longer ones pair each member with NEAR neighbours in each of four
-#: sketch orders and with CENTRES members common to the run, so the rows stay linear in the run.
+#: sketch orders and with CENTRES members common to the run, so the rows stay linear in the run.  Their members are
+#: kept, and once components are known, those outside a run's largest component meet all others (``_rest``).
 ALL, NEAR, CENTRES = 64, 8, 16
 #: Members of a key that is hot within a batch which still go on to the key's reducer.
 HOT_BATCH, ON = 256, 32
+#: Rows of one side of a block in that second comparison.
+SIDE = 4096
 
 ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8")])
+HELD = np.dtype([("part", "<i4"), ("key", "<u4"), ("node", "<u8"), ("sketch", "<u8")])
+FOUND = "a long, b long, part int, key long, sketch long"
+
+
+def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
+    """Candidate pairs as rows of FOUND."""
+    both = np.ascontiguousarray(pairs.T).view(np.int64)
+    none = pa.nulls(len(pairs), pa.int64())
+    return pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.nulls(len(pairs), pa.int32()), none, none], ["a", "b", "part", "key", "sketch"])
+
+
+def _member_rows(part: np.ndarray, key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    """Members of runs that weren't paired whole, as rows of FOUND without a second node."""
+    return pa.record_batch(
+        [pa.array(node.view(np.int64)), pa.nulls(len(node), pa.int64()), pa.array(part.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(sketch.view(np.int64))],
+        ["a", "b", "part", "key", "sketch"],
+    )
 
 
 def table_keys(sig: np.ndarray, bands: int = BANDS, width: int = WIDTH) -> np.ndarray:
@@ -128,6 +149,8 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         order = np.argsort(key, kind="stable")
         key, node, sketch = key[order], node[order], sketch[order]
         out_part, out_blob = [], []
+        # partition by the high part of the key, so that the sorted array falls into slices
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         start, end = _runs(key)
         hot = end - start > HOT_BATCH
         if hot.any():
@@ -135,11 +158,14 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             done = run_pairs(start[hot], end[hot], node, sketch)
             for s, e in zip(start[hot], end[hot], strict=True):
                 keep[s + np.argsort(W.mix(node[s:e]))[ON:]] = False
-            key, node, sketch = key[keep], node[keep], sketch[keep]
             out_part.append(-1)
             out_blob.append(done.tobytes())
-        # partition by the high part of the key, so that the sorted array falls into slices
-        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            # those that stay behind are members of the run all the same
+            rows = np.empty(int((~keep).sum()), dtype=HELD)
+            rows["part"], rows["key"], rows["node"], rows["sketch"] = part[~keep], key[~keep].astype(np.uint32), node[~keep], sketch[~keep]
+            out_part.append(-2)
+            out_blob.append(rows.tobytes())
+            key, node, sketch, part = key[keep], node[keep], sketch[keep], part[keep]
         edges = np.searchsorted(part, np.arange(parts + 1))
         rows = np.empty(len(key), dtype=ROW)
         rows["key"], rows["node"], rows["sketch"] = key.astype(np.uint32), node, sketch
@@ -151,18 +177,16 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blobs of a reduce task to candidate pairs."""
+    """All blobs of a reduce task to candidate pairs, and the members of runs above ALL."""
     held: dict[int, list[np.ndarray]] = {}
-
-    def out(pairs: np.ndarray) -> pa.RecordBatch:
-        both = np.ascontiguousarray(pairs.T).view(np.int64)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = blob.as_buffer()
-            if part < 0:
-                yield out(np.frombuffer(data, dtype=np.uint64).reshape(-1, 2))
+            if part == -1:
+                yield _pair_rows(np.frombuffer(data, dtype=np.uint64).reshape(-1, 2))
+            elif part == -2:
+                rows = np.frombuffer(data, dtype=HELD)
+                yield _member_rows(rows["part"], rows["key"], np.ascontiguousarray(rows["node"]), np.ascontiguousarray(rows["sketch"]))
             else:
                 held.setdefault(part, []).append(np.frombuffer(data, dtype=ROW))
     for part in list(held):
@@ -170,7 +194,46 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[np.argsort(rows["key"], kind="stable")]
         node, sketch = np.ascontiguousarray(rows["node"]), np.ascontiguousarray(rows["sketch"])
         start, end = _runs(rows["key"])
-        yield out(run_pairs(start, end, node, sketch))
+        yield _pair_rows(run_pairs(start, end, node, sketch))
+        for s, e in zip(start[end - start > ALL], end[end - start > ALL], strict=True):
+            yield _member_rows(np.full(e - s, part), rows["key"][s:e], node[s:e], sketch[s:e])
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of a long run: its outsiders against all its rows of other components."""
+    out = pdf[pdf["outside"]]
+    x, y = out["sketch"].to_numpy().view(np.uint64), pdf["sketch"].to_numpy().view(np.uint64)
+    near = W.popcount(x[:, None] ^ y[None, :]) <= 64 - AGREE
+    near &= out["root"].to_numpy()[:, None] != pdf["root"].to_numpy()[None, :]
+    i, j = np.nonzero(near)
+    a, b = out["a"].to_numpy()[i].view(np.uint64), pdf["a"].to_numpy()[j].view(np.uint64)
+    pairs = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0).view(np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates that the sparse pairing of long runs may have left out.
+
+    Only members outside their run's largest component can still be unlinked to another member; they meet all members of other
+    components, in blocks of SIDE rows by SIDE rows, so no run is gathered in one task and no pair within a component is formed.
+    """
+    run = ["part", "key"]
+    rows = members.select(*run, "a", "sketch").distinct().join(roots, F.col("a") == F.col("node"), "left")
+    rows = cut(rows.select(*run, "a", "sketch", F.coalesce("root", "a").alias("root")), "members")
+    sizes = rows.groupBy(*run, "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*run).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    main = main.where("total > most")
+    rows = rows.join(main, run).withColumn("outside", F.col("root") != F.col("main"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / SIDE)).cast("int")
+    rows = rows.withColumn("across", blocks(F.col("total") - F.col("most"))).withColumn("down", blocks(F.col("total")))
+    mine = F.pmod(F.xxhash64("a"), F.col("across")).cast("int")
+    row = F.pmod(F.xxhash64("a", F.lit(1)), F.col("down")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # an outsider stands in all blocks of its column; every row in all blocks of its line
+    as_outsider = rows.where("outside").withColumn("i", mine).withColumn("j", F.explode(every(F.col("down"))))
+    as_row = rows.withColumn("outside", F.lit(False)).withColumn("i", F.explode(every(F.col("across")))).withColumn("j", row)
+    block = as_outsider.union(as_row).select(*run, "i", "j", "a", "sketch", "root", "outside")
+    return block.groupBy(*run, "i", "j").applyInPandas(_meet, "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +268,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verified_links(texts: DataFrame, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between text fingerprints whose likeness is at least ``threshold``."""
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = texts.select(F.col(text).alias("text")).where("text is not null")
-    blobs = arrow_map(one, lambda it: _pack(it, parts), "part int, blob binary")
-    found = arrow_map(blobs.repartitionById(parts, "part"), _candidates, "a long, b long").distinct()
-    found = cut(found, "candidates")
+def _verify(one: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) whose exact likeness is at least ``threshold``."""
     wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     sets = arrow_map(one, _sets, "node long, pairs array<int>").join(wanted, "node", "left_semi")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
@@ -227,6 +284,26 @@ def verified_links(texts: DataFrame, text: str, threshold: float = THRESHOLD) ->
     )
 
 
+def text_components(texts: DataFrame, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root): the component of every text fingerprint that has a link of likeness ``threshold``."""
+    ship(texts.sparkSession)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = texts.select(F.col(text).alias("text")).where("text is not null")
+    blobs = arrow_map(one, lambda it: _pack(it, parts), "part int, blob binary")
+    found = arrow_map(blobs.repartitionById(parts, F.pmod("part", F.lit(parts))), _candidates, FOUND).distinct()
+    found = cut(found, "candidates")
+    pairs, members = found.where("b is not null").select("a", "b"), found.where("b is null")
+    links = _verify(one, pairs, threshold)
+    if members.isEmpty():
+        return components(links, "a", "b")
+    links = cut(links, "links")
+    roots = components(links, "a", "b")
+    more = cut(_rest(members, roots), "rest")
+    if more.isEmpty():
+        return roots
+    return components(links.union(_verify(one, more, threshold)), "a", "b")
+
+
 def near_duplicate_groups(rows: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Group rows whose texts are linked by chains of likeness ``threshold`` or more.
 
@@ -240,7 +317,7 @@ def near_duplicate_groups(rows: DataFrame, id_col: str, text_col: str, threshold
     kind = rows.schema["id"].dataType.simpleString()
     nodes = arrow_map(rows.where("text is not null"), _nodes, f"id {kind}, node long").where("node is not null")
     nodes = cut(nodes.distinct(), "nodes")
-    roots = components(verified_links(rows, "text", threshold), "a", "b")
+    roots = text_components(rows, "text", threshold)
     # per fingerprint first: a text with very many copies is one row from here on
     texts = nodes.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     texts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

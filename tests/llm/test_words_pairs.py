@@ -128,6 +128,27 @@ def test_a_third_of_all_rows_in_one_group(spark):
     assert len(a) < 60 * n
 
 
+def test_long_runs_are_finished(spark, monkeypatch):
+    """Whatever the sparse pairing left out between components is compared after all."""
+    monkeypatch.setattr(N, "SIDE", 16)
+    rng = random.Random(7)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    rows, root = [], {}
+    for key in range(2):
+        for i in range(120):
+            node = key * 1000 + i
+            near = centres[0] if i < 80 else centres[rng.randrange(3)]
+            rows.append((node, 1, key, (near ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))))
+            root[node] = key * 1000 if i < 70 else node - node % 3
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    members = spark.createDataFrame([(a, p, k, signed(x)) for a, p, k, x in rows], "a long, part int, key long, sketch long")
+    roots = spark.createDataFrame([(a, r) for a, r in root.items() if a % 5], "node long, root long")
+    real = {a: root[a] if a % 5 else a for a in root}
+    got = {(r.a, r.b) for r in N._rest(members.union(members), roots).collect()}
+    want = {(a, b) for a, _, k, x in rows for b, _, l, y in rows if a < b and k == l and real[a] != real[b] and bin(x ^ y).count("1") <= 64 - N.AGREE}
+    assert got == want and len(want) > 500
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, t string")
     assert N.near_duplicate_groups(empty, "id", "t").count() == 0
