@@ -88,8 +88,12 @@ def whiten(df: DataFrame, array: str, length: str, out: str, shift_mean: bool =
     """
     inside = F.filter(F.transform(F.col(array), lambda x, i: F.when(i <= F.col(length) + F.lit(extra), x)), lambda x: x.isNotNull())
     moments = df.select(*(batch or []), F.explode(inside).alias("x")).groupBy(*(batch or [])).agg(F.avg("x").alias("_pf_mean"), F.var_samp("x").alias("_pf_var"))
-    joined = df.join(moments, batch) if batch else df.join(F.broadcast(moments), F.lit(True))  # without groups: one row
-    scaled = lambda x: (x - F.col("_pf_mean")) / F.sqrt(F.col("_pf_var") + F.lit(1e-8)) + (F.lit(0.0) if shift_mean else F.col("_pf_mean"))
+    if batch:
+        joined, mean, var = df.join(moments, batch), F.col("_pf_mean"), F.col("_pf_var")
+    else:
+        one = moments.first()  # two numbers
+        joined, mean, var = df, F.lit(one[0]), F.lit(one[1])
+    scaled = lambda x: (x - mean) / F.sqrt(var + F.lit(1e-8)) + (F.lit(0.0) if shift_mean else mean)
     value = F.transform(F.col(array), lambda x, i: F.when(i <= F.col(length) + F.lit(extra), scaled(x)).otherwise(F.lit(0.0)))
     return joined.withColumn(out, value).drop("_pf_mean", "_pf_var")
 

@@ -16,8 +16,10 @@ RANGES = 64
 def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: list[str], out: str = "rank", ranges: int = RANGES) -> DataFrame:
     """Add ``out``, counted from 1, by ``order`` (a number, not null) and ``ties`` within ``groups``.
 
-    Rows with a null order come last.  Also adds nothing else; groups that are null form a group.
+    Rows with a null order come last; groups that are null form a group.
     """
+    if not groups:
+        raise ValueError("name at least one group column")
     value = F.col(order) if isinstance(order, str) else order
     x = df.withColumn("_pf_order", value.cast("double"))
     bounds = x.groupBy(*groups).agg(F.min("_pf_order").alias("_pf_low"), F.max("_pf_order").alias("_pf_high"))
@@ -28,8 +30,7 @@ def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: lis
         match = match & F.col(g).eqNullSafe(F.col(k))
     width = F.when(F.col("_pf_high") > F.col("_pf_low"), F.col("_pf_high") - F.col("_pf_low")).otherwise(F.lit(1.0))
     part = F.least(F.lit(ranges - 1), F.floor((F.col("_pf_order") - F.col("_pf_low")) / width * ranges)).cast("int")
-    # without groups there is one row of bounds; with groups one a group
-    x = (x.join(bounds, match) if groups else x.join(F.broadcast(bounds), F.lit(True))).withColumn("_pf_range", F.coalesce(part, F.lit(ranges))).drop(*keys, "_pf_low", "_pf_high")
+    x = x.join(bounds, match).withColumn("_pf_range", F.coalesce(part, F.lit(ranges))).drop(*keys, "_pf_low", "_pf_high")
     counts = x.groupBy(*groups, "_pf_range").agg(F.count("*").alias("_pf_n"))
     before = Window.partitionBy(*groups).orderBy("_pf_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col("_pf_range").alias("_pf_r"), F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_before"))
@@ -39,3 +40,15 @@ def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: lis
     local = F.row_number().over(Window.partitionBy(*groups, "_pf_range").orderBy(F.col("_pf_order").asc_nulls_last(), *ties))
     x = x.withColumn("_pf_local", local).join(counts, match)
     return x.withColumn(out, F.col("_pf_before") + F.col("_pf_local")).drop("_pf_order", "_pf_range", "_pf_r", "_pf_before", "_pf_local", *keys)
+
+
+def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
+    """(groups, ``out``): the interpolated median of each group, by ranks, so no group's values are gathered.  Nulls are left out."""
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_pf_size"))
+    ranked = rank_within(rows, groups, value, [], "_pf_place").join(sizes, groups)
+    twice = 2 * F.col("_pf_place")
+    middle = ranked.where((twice >= F.col("_pf_size")) & (twice <= F.col("_pf_size") + 2))
+    # of an even number of values the two in the middle, of an odd one the single one
+    keep = F.when(F.col("_pf_size") % 2 == 1, twice == F.col("_pf_size") + 1).otherwise(True)
+    return middle.where(keep).groupBy(*groups).agg(F.avg(value).alias(out))

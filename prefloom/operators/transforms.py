@@ -124,9 +124,9 @@ def merge(first: DataFrame, *more: DataFrame) -> DataFrame:
     """
     out = first
     for df in more:
-        shift = out.agg((F.coalesce(F.max("dataset_idx"), F.lit(-1)) + 1).alias("_pf_shift"))
-        moved = df.join(F.broadcast(shift), F.lit(True)).withColumn("dataset_idx", (F.col("dataset_idx") + F.col("_pf_shift")).cast("int")).drop("_pf_shift")  # one row
-        out = out.unionByName(moved)
+        last = out.agg(F.max("dataset_idx")).first()[0]  # one number
+        shift = 0 if last is None else last + 1
+        out = out.unionByName(df.withColumn("dataset_idx", (F.col("dataset_idx") + F.lit(shift)).cast("int")))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.text import digest, kept_tokens, render_sample, tokens, without_stop_words, word_count
+from prefloom.operators.ordered import exact_median
 from prefloom.schema import TEXT_FIELDS
 
 
@@ -82,12 +83,6 @@ def shortfall(requested: DataFrame, samples: DataFrame) -> DataFrame:
     return out.withColumn("missing", F.col("requested") - F.col("produced"))
 
 
-def stats(value: Column | str) -> list[Column]:
-    """Mean, exact interpolated median, least and greatest value."""
-    v = F.col(value) if isinstance(value, str) else value
-    return [F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max")]
-
-
 def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "diversity") -> DataFrame:
     """Add to each row 1 less its mean cosine similarity to all rows of its group, itself included.
 
@@ -107,8 +102,10 @@ def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "div
 
 
 def diversity_report(rows: DataFrame, vector: str, groups: list[str]) -> DataFrame:
-    """Mean, median, least and greatest diversity of each group."""
-    return diversity(rows, vector, groups).groupBy(*groups).agg(*stats("diversity"))
+    """Mean, exact median, least and greatest diversity of each group."""
+    each = diversity(rows, vector, groups).select(*groups, "diversity")
+    plain = each.groupBy(*groups).agg(F.avg("diversity").alias("mean"), F.min("diversity").alias("min"), F.max("diversity").alias("max"))
+    return plain.join(exact_median(each, groups, "diversity"), groups).select(*groups, "mean", "median", "min", "max")
 
 
 def clamped(score: Column | str) -> Column:
@@ -129,7 +126,8 @@ METRICS = ("alignment", "coherence_chosen", "coherence_rejected")
 def judge_report(samples: DataFrame, scores: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Score statistics of each dataset and metric side by side; metrics without a score are null.
 
-    ``scores`` is one row for each sample_id and metric, as from ``latest_scores``; samples have distinct sample_ids.
+    ``scores`` is one row for each sample_id and metric, as from ``latest_scores``; samples have distinct sample_ids.  The medians are
+    exact; clamped scores have eleven values, so counting them takes little memory whatever the dataset's size.
     """
     joined = samples.select("sample_id", "dataset_idx").join(scores, "sample_id")
     wide = joined.groupBy("dataset_idx").agg(

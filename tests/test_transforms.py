@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prefloom.operators import transforms as X
-from prefloom.operators.ordered import rank_within
+from prefloom.operators.ordered import exact_median, rank_within
 
 
 def rows(n, dataset=0, split="train"):
@@ -122,3 +122,13 @@ def test_hot_group_is_cut(spark):
     out = rank_within(df, ["g"], "id", ["id"])
     assert out.groupBy("g").agg(F.max("rank").alias("m"), F.countDistinct("rank").alias("n")).where("m <> n").count() == 0
     assert math.isclose(out.where("g = 0").count(), 1000)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-9, 9)), min_size=1, max_size=40))
+def test_exact_median(spark, data):
+    import statistics
+
+    df = spark.createDataFrame([(g, float(v)) for g, v in data] + [(0, None)], "g int, v double")
+    got = {r.g: r.median for r in exact_median(df, ["g"], "v").collect()}
+    assert got == {g: statistics.median(v for h, v in data if h == g) for g in {g for g, _ in data}}
