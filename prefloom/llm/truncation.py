@@ -269,10 +269,16 @@ def truncated_fields(
         .join(wanted, "word")
         .withColumn("begins", F.lit(True))
     )
+    # a limit is a length at which a source's texts are often cut and which none exceeds
+    sizes = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.length(f).alias("n_chars"), F.octet_length(f).alias("n_bytes")) for f in fields)))
+    greatest = rows.select(F.col(source_col).cast("string").alias("source"), sizes.alias("z")).groupBy("source", F.col("z.field").alias("field"))
+    greatest = cut(greatest.agg(F.max("z.n_chars").alias("n_chars"), F.max("z.n_bytes").alias("n_bytes")), "greatest")
     limit = [
-        sure.groupBy("source", "field", F.col(size).alias("size")).agg(F.count("*").alias("cuts")).where(F.col("cuts") >= LIMIT_CUTS).select("source", "field", F.col("size").alias(size), F.lit(True).alias(f"at_{size}"))
-        for size in ("n_chars", "n_bytes")
-    ]
+        sure.groupBy("source", "field", F.col(size).alias("size")).agg(F.count("*").alias("cuts")).where(F.col("cuts") >= LIMIT_CUTS).alias("c")
+        .join(greatest.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.field") == F.col("g.field")) & (F.col("size") >= F.col(f"g.{size}") - slack))
+        .select("c.source", "c.field", F.col("size").alias(size), F.lit(True).alias(f"at_{size}"))
+        for size, slack in (("n_chars", 0), ("n_bytes", 3))  # a limit in bytes may spare a broken character
+    ]
     judged = asked.join(known, "word", "left").join(starts, "word", "left").join(phrases, "phrase", "left")
     for side, size in zip(limit, ("n_chars", "n_bytes"), strict=True):
         side = side.withColumnRenamed("source", "s").withColumnRenamed("field", "f").withColumnRenamed(size, "z")
