@@ -75,11 +75,11 @@ def checkpoint_order(paths: DataFrame) -> DataFrame:
 _tokenizers: dict = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, fields: int) -> Iterator[pa.RecordBatch]:
-    if path not in _tokenizers:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, content: str, fields: int) -> Iterator[pa.RecordBatch]:
+    if path not in _tokenizers:  # once for each worker process
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path] = Tokenizer.from_str(content)
         _tokenizers[path].encode_special_tokens = True
     t = _tokenizers[path]
     for batch in batches:
@@ -90,7 +90,12 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, fields: int) -> Iterat
 
 
 def tokenize(df: DataFrame, keys: list[str], fields: list[str], path: str) -> DataFrame:
-    """Token ids of text columns by a tokenizer file that the workers can read; other columns are dropped.  Null texts give no ids."""
+    """Token ids of text columns by a tokenizer file; other columns are dropped.  Null texts give no ids.
+
+    The file (of fixed size) travels with the job, so workers need no copy.
+    """
+    with open(path, encoding="utf-8") as f:
+        content = df.sparkSession.sparkContext.broadcast(f.read())
     picked = df.select(*keys, *fields)
     kinds = ", ".join([*(f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in keys), *(f"`{f}_ids` array<int>" for f in fields)])
-    return arrow_map(picked, lambda it: _encode(it, path, len(fields)), kinds)
+    return arrow_map(picked, lambda it: _encode(it, path, content.value, len(fields)), kinds)
