@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
 from prefloom.llm._graph import components
-from prefloom.session import arrow_map, cut, ship
+from prefloom.session import arrow_map, cut, ship, small
 
 THRESHOLD, BANDS, WIDTH = 0.6, 7, 2
 #: Bits of 64 in which two sketches must agree; at likeness 0.6 about 51 do, with a deviation of 3.2.
@@ -271,8 +271,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(one: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) whose exact likeness is at least ``threshold``."""
     wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    sets = arrow_map(one, _sets, "node long, pairs array<int>").join(wanted, "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    sets = arrow_map(one, _sets, "node long, pairs array<int>").join(small(cut(wanted, "wanted"), 16), "node", "left_semi")
+    # the sets of candidates only; beyond the checked size both joins shuffle
+    sets = small(cut(sets.dropDuplicates(["node"]), "sets"), 500)
     left = sets.select(F.col("node").alias("a"), F.col("pairs").alias("pa"))
     right = sets.select(F.col("node").alias("b"), F.col("pairs").alias("pb"))
     both = F.size(F.array_intersect("pa", "pb"))
