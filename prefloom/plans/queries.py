@@ -327,7 +327,10 @@ def importance_subset(spark, d):
     return ranked.where("k <= 500").select("dataset_idx", "sample_idx")
 
 
-@query()
+@query(
+    _WITH + ", r AS (SELECT dataset_idx, split, row_number() OVER (PARTITION BY dataset_idx ORDER BY split DESC, sample_idx) AS k, count(*) OVER (PARTITION BY dataset_idx) AS n, count(*) FILTER (split='train') OVER (PARTITION BY dataset_idx) AS t FROM s)"
+    " SELECT dataset_idx, k-1 AS sample_idx, CASE WHEN k <= trunc(t/n::double*n) THEN 'train' ELSE 'test' END AS split FROM r"
+)
 def resplit_compatible(spark, d):
     """The boundary that a reader of a file with both lists gets."""
     return _keys(X.resplit_compatible(samples(spark, d, "dataset_idx", "sample_idx", "split")))
