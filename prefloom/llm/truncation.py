@@ -5,7 +5,7 @@ brackets, fences, markup); the tail is then judged by structure: broken characte
 list items, signatures, closing marks, terminators.  Tails that structure cannot decide (an
 ellipsis, a list item, a text in a style without any terminator) are judged by baselines over
 all texts: how often a word ends a sentence, whether it is only the beginning of a frequent word, whether
-the same closing phrase follows different texts, and the length limits each source shows.
+sentences that begin like a closing phrase mostly stop there, and the length limits each source shows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
-from prefloom.session import arrow_map, cut
+from prefloom.session import arrow_map, cut, small
 
 #: Marks that end a sentence, and pairs of opening and closing marks.
 TERMINATORS = ".?!。？！؟"
@@ -228,12 +228,94 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _sentences(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each sentence, its number of words, and whether it is the last of its text."""
+    n = len(w.hashes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    stop = np.zeros(0x110000, np.int8)
+    stop[[ord(c) for c in TERMINATORS + "\n…"]] = 1  # texts of a chunk are parted by line breaks
+    chars = np.frombuffer(w.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    stops = np.cumsum(stop[chars], dtype=np.int32)
+    opens = np.ones(n, bool)
+    opens[1:] = stops[w.start[1:]] > stops[w.end[:-1] - 1]
+    first = np.flatnonzero(opens)
+    return first, np.diff(np.append(first, n)), np.isin(np.append(first[1:], n), w.first[1:])
+
+
+def _openings(w: W.Words, first: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the words of sentences up to, not with, the last of ``length`` words."""
+    key = np.zeros(len(first), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length - 1):
+            key = W.mix(key * np.uint64(3) + w.hashes[first + k])
+    return key
+
+
+def _count_openings(batches: Iterator[pa.RecordBatch], lengths: list[int], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts to (words, key, word, sentences that begin so, those of them that stop there as the end of the text).
+
+    Keys without a mark are left out; no phrase has one of them.
+    """
+    for batch in batches:
+        texts = [t for c in batch.columns for t in c.to_pylist()]
+        for s in W.chunks([texts]):
+            w = W.words(texts[s])
+            first, size, final = _sentences(w)
+            for length in lengths:
+                long = np.flatnonzero(size >= length)
+                key = _openings(w, first[long], length)
+                some = marks[(key & np.uint64(len(marks) - 1)).astype(np.int64)]
+                long, key = long[some], key[some]
+                last = first[long] + length - 1
+                with np.errstate(over="ignore"):
+                    whole = W.mix(key * np.uint64(3) + w.hashes[last])
+                _, at, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                closes = np.bincount(inverse, weights=final[long] & (size[long] == length), minlength=len(at)).astype(np.int64)
+                words = [w.text[w.start[i] : w.end[i]][:200] for i in last[at].tolist()]
+                yield pa.record_batch(
+                    [pa.array(np.full(len(at), length, np.int32)), pa.array(key[at].view(np.int64)), pa.array(words, pa.string()), pa.array(n.astype(np.int64)), pa.array(closes)],
+                    ["words", "key", "word", "n", "closes"],
+                )
+
+
+def _phrase_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Closing phrases to (phrase, words, key of all but the last, last word)."""
+    for batch in batches:
+        out: list[tuple[str, int, int, str]] = []
+        for phrase in batch.column(0).to_pylist():
+            w = W.words([phrase])
+            if n := len(w.hashes):
+                key = _openings(w, np.zeros(1, np.int64), n)
+                out.append((phrase, n, int(key.view(np.int64)[0]), w.text[w.start[-1] : w.end[-1]][:200]))
+        yield pa.record_batch(
+            [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())],
+            ["phrase", "words", "key", "last"],
+        )
+
+
+def _closing_phrases(rows: DataFrame, asked: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(phrase, closing): whether most sentences that begin with the characters of the phrase end their text there."""
+    seen = asked.where(F.col("verdict") == ASK_ELLIPSIS).groupBy("phrase").agg(F.countDistinct("before").alias("texts"))
+    phrases = cut(arrow_map(seen.where(F.col("texts") >= PHRASE_TEXTS).select("phrase"), _phrase_keys, "phrase string, words int, key long, last string"), "phrases")
+    lengths = sorted(r[0] for r in phrases.select("words").distinct().collect())
+    marks = np.zeros(MARKS, bool)  # of a fixed size; the join below decides
+    marks[[r[0] for r in phrases.select(F.pmod("key", F.lit(MARKS)).cast("int")).distinct().collect()]] = True
+    begun = arrow_map(rows.select(*fields), lambda it: _count_openings(it, lengths, marks), "words int, key long, word string, n long, closes long")
+    begun = begun.join(small(phrases, 120), ["words", "key"]).where(F.col("word").startswith(F.col("last")))
+    stops = F.sum(F.when(F.col("word") == F.col("last"), F.col("closes")).otherwise(0))
+    return begun.groupBy("phrase").agg((stops >= F.sum("n") * F.lit(CLOSING)).alias("closing"))
+
+
 #: A word seen at least DANGLING_SEEN times of which a share under DANGLING ends something does not end a text.
 DANGLING_SEEN, DANGLING = 30, 0.01
 #: A word seen at most FRAGMENT_SEEN times that begins a word seen PREFIX_SEEN times or more is a fragment.
 FRAGMENT_SEEN, PREFIX_SEEN = 3, 20
-#: A closing phrase that follows this many different texts is a phrase, not a cut.
-PHRASE_TEXTS = 3
+#: A closing phrase follows at least PHRASE_TEXTS different texts, and of all sentences that begin with its characters a share of CLOSING or
+#: more end their text there; a cut is one of many sentences that go on elsewhere, however often it falls on the same place.
+PHRASE_TEXTS, CLOSING = 3, 0.5
+#: Marks by which sentences that begin like no closing phrase are passed over; a power of two.
+MARKS = 1 << 18
 #: A length at which this many texts of a source and field are surely cut is a limit of that source.
 LIMIT_CUTS = 5
 
@@ -256,7 +338,7 @@ def truncated_fields(
     sure = scanned.where(F.col("verdict") == CUT)
     asked = scanned.where(F.col("verdict") != CUT)
 
-    phrases = asked.where(F.col("verdict") == ASK_ELLIPSIS).groupBy("phrase").agg(F.countDistinct("before").alias("texts"))
+    phrases = _closing_phrases(rows, asked, fields)
     words = arrow_map(rows.select(*fields), _count_words, "word string, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     words = cut(words, "vocabulary")
     wanted = asked.select("word").distinct()
@@ -287,7 +369,7 @@ def truncated_fields(
     dangling = (F.col("n") >= DANGLING_SEEN) & (F.col("ends") < F.col("n") * F.lit(DANGLING))
     at_limit = F.coalesce("at_n_chars", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
     is_cut = (
-        F.when(F.col("verdict") == ASK_ELLIPSIS, F.coalesce("texts", F.lit(0)) < PHRASE_TEXTS)
+        F.when(F.col("verdict") == ASK_ELLIPSIS, ~F.coalesce("closing", F.lit(False)) | at_limit)
         .when(F.col("verdict") == ASK_ITEM, fragment | at_limit)
         .otherwise(fragment | F.coalesce(dangling, F.lit(False)) | at_limit)
     )

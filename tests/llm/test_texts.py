@@ -50,6 +50,20 @@ def test_baselines_decide(spark):
     assert T.truncated_fields(df.limit(0)).count() == 0
 
 
+def test_cuts_with_an_ellipsis_at_the_same_place(spark):
+    """A fragment or part of a word that follows many texts is no closing phrase; at a source's limit even a phrase is cut."""
+    own = lambda i: f"Number {i} was read in Morgo."
+    rows = [(i, "a", f"{own(i)} The barge was late. So does the loom. {FULL}", f"{own(i)} The...", f"{own(i)} Well, we will see...") for i in range(30)]
+    rows += [(100 + i, "a", f"{own(i)} So does th…", f"{own(i)} So does…", FULL) for i in range(12)]
+    end = " Well, we will see..."
+    rows += [(200 + i, "kiosk", FULL, FULL, f"{FULL} {own(i)} The barge was la"[:140].ljust(140, "x")) for i in range(5)]
+    rows += [(300, "kiosk", FULL, FULL, f"{FULL} Number".ljust(140 - len(end) - 1, "x") + "." + end)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, prompt string, chosen string, rejected string")
+    got = {(r.sample_id, r.field) for r in T.truncated_fields(df).collect()}
+    want = {(i, "chosen") for i in range(30)} | {(100 + i, f) for i in range(12) for f in ("prompt", "chosen")} | {(200 + i, "rejected") for i in range(5)} | {(300, "rejected")}
+    assert got == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(1, 4))
 def test_suffix_automaton_matches_brute_force(a, b, run):
