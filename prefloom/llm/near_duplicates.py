@@ -124,7 +124,10 @@ def run_pairs(start: np.ndarray, end: np.ndarray, node: np.ndarray, sketch: np.n
 
 
 def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Text batches to blobs of table rows, one for each target partition; part -1 holds finished pairs."""
+    """Text batches to blobs of table rows, one for each target partition p.
+
+    Part -1 holds finished pairs, -2 members of hot keys that stay behind, ``parts + p`` the hot keys themselves.
+    """
     for batch in batches:
         texts = batch.column(0).to_pylist()
         nodes, sketches, keys = [], [], []
@@ -165,6 +168,10 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             rows["part"], rows["key"], rows["node"], rows["sketch"] = part[~keep], key[~keep].astype(np.uint32), node[~keep], sketch[~keep]
             out_part.append(-2)
             out_blob.append(rows.tobytes())
+            # the reducer is told, so that all other members of such a run are kept too, however short it is there
+            for p in np.unique(part[start[hot]]):
+                out_part.append(parts + int(p))
+                out_blob.append(key[start[hot]][part[start[hot]] == p].astype(np.uint32).tobytes())
             key, node, sketch, part = key[keep], node[keep], sketch[keep], part[keep]
         edges = np.searchsorted(part, np.arange(parts + 1))
         rows = np.empty(len(key), dtype=ROW)
@@ -176,9 +183,10 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["part", "blob"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blobs of a reduce task to candidate pairs, and the members of runs above ALL."""
+def _candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """All blobs of a reduce task to candidate pairs, and the members of runs above ALL or hot in a batch."""
     held: dict[int, list[np.ndarray]] = {}
+    hot: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = blob.as_buffer()
@@ -187,6 +195,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif part == -2:
                 rows = np.frombuffer(data, dtype=HELD)
                 yield _member_rows(rows["part"], rows["key"], np.ascontiguousarray(rows["node"]), np.ascontiguousarray(rows["sketch"]))
+            elif part >= parts:
+                hot.setdefault(part - parts, []).append(np.frombuffer(data, dtype=np.uint32))
             else:
                 held.setdefault(part, []).append(np.frombuffer(data, dtype=ROW))
     for part in list(held):
@@ -195,7 +205,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, sketch = np.ascontiguousarray(rows["node"]), np.ascontiguousarray(rows["sketch"])
         start, end = _runs(rows["key"])
         yield _pair_rows(run_pairs(start, end, node, sketch))
-        for s, e in zip(start[end - start > ALL], end[end - start > ALL], strict=True):
+        kept = end - start > ALL
+        if part in hot:
+            kept |= np.isin(rows["key"][start], np.concatenate(hot[part]))
+        for s, e in zip(start[kept], end[kept], strict=True):
             yield _member_rows(np.full(e - s, part), rows["key"][s:e], node[s:e], sketch[s:e])
 
 
@@ -291,7 +304,7 @@ def text_components(texts: DataFrame, text: str, threshold: float = THRESHOLD) -
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = texts.select(F.col(text).alias("text")).where("text is not null")
     blobs = arrow_map(one, lambda it: _pack(it, parts), "part int, blob binary")
-    found = arrow_map(blobs.repartitionById(parts, F.pmod("part", F.lit(parts))), _candidates, FOUND).distinct()
+    found = arrow_map(blobs.repartitionById(parts, F.pmod("part", F.lit(parts))), lambda it: _candidates(it, parts), FOUND).distinct()
     found = cut(found, "candidates")
     pairs, members = found.where("b is not null").select("a", "b"), found.where("b is null")
     links = _verify(one, pairs, threshold)

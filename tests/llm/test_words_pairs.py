@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -149,6 +150,34 @@ def test_long_runs_are_finished(spark, monkeypatch):
     assert got == want and len(want) > 500
 
 
+def test_keys_hot_in_one_batch_keep_all_members():
+    """Rows of other batches and those sent on are members too, even where the reducer's run is short."""
+    rng = random.Random(8)
+    base, parts = text(rng, 60), 3
+    one = [edited(rng, base, 1) for _ in range(500)]
+    other = [edited(rng, base, 1) for _ in range(20)]
+    blobs = [pa.record_batch([b["part"], b["blob"]], ["part", "blob"]) for t in (one, other) for b in N._pack(iter([pa.record_batch([pa.array(t)], ["text"])]), parts)]
+    got = {}
+    for p in range(parts):
+        mine = [b.filter(pa.array([x % parts == p for x in b["part"].to_pylist()])) for b in blobs]
+        for b in N._candidates(iter(mine), parts):
+            for a, other_node, part, key in zip(*(b[c].to_pylist() for c in ("a", "b", "part", "key")), strict=True):
+                if other_node is None:
+                    got.setdefault((part, key), set()).add(a)
+    want, hot = {}, {}
+    for turn, texts in enumerate((one, other)):
+        w = W.words(texts)
+        pairs, first = W.pairs_of(w)
+        for node, keys in zip(W.order_print(w.hashes, w.first).view(np.int64).tolist(), N.table_keys(W.minima(pairs, first, 64)).tolist(), strict=True):
+            for k in keys:
+                name = (((k >> 32) * parts) >> 32, k & 0xFFFFFFFF)
+                want.setdefault(name, set()).add(node)
+                if not turn:
+                    hot.setdefault(name, set()).add(node)
+    hot = {k for k, v in hot.items() if len(v) > N.HOT_BATCH}
+    assert hot and all(got.get(k) == want[k] for k in hot)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, t string")
     assert N.near_duplicate_groups(empty, "id", "t").count() == 0
