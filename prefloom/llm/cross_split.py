@@ -3,7 +3,7 @@
 Method: winnowing.  Rolling hashes of ``GRAM`` words are thinned to the minima of windows of
 ``WINDOW`` positions, so any run of ``GRAM + WINDOW - 1`` words that two records share gives both
 the same seed.  Seeds of the two splits are joined (packed into blobs and sorted with numpy); a
-seed whose train and test sides are both frequent is lengthened to two successive minima.
+seed whose train and test sides are both frequent is compared whole, in blocks of sketches.
 Candidates pass a 128-bit one-bit sketch and are then fetched, their seeds chained
 collinearly and extended word by word; the exact likeness decides.
 """
@@ -25,10 +25,12 @@ THRESHOLD, GRAM, WINDOW = 0.6, 4, 12
 AGREE = 92
 #: Records under SHORT words also give each of their word pairs as a seed: a shared run may be too short for a window.
 SHORT = 80
-#: Train rows times test rows of one seed, above which the seed is lengthened.
-HOT = 4096
+#: Train rows times test rows of one seed, above which its rows are compared in blocks of SIDE by SIDE.
+HOT, SIDE = 4096, 512
+#: Pairs held at once, above which repeats are dropped.
+HELD = 4_000_000
 
-ROW = np.dtype([("key", "<u4"), ("next", "<u4"), ("node", "<u8"), ("sketch", "<u8", 2)])
+ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8", 2)])
 
 
 def winnow(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def _records(columns: list[list[str | None]], s: slice) -> list[str | None]:
 
 
 def _seed_rows(w: W.Words, fields: int) -> tuple[np.ndarray, ...]:
-    """(record, key, next, record print, sketch) of all seeds of a chunk."""
+    """(record, key, record print, sketch) of all seeds of a chunk."""
     pairs, first = W.pairs_of(w)
     first = first[::fields]
     record_first = w.first[::fields]
@@ -96,21 +98,15 @@ def _seed_rows(w: W.Words, fields: int) -> tuple[np.ndarray, ...]:
     node = W.order_print(W.mix(w.hashes + (owner % fields).astype(np.uint64)), record_first)
     sketch = W.two_words(W.minima(pairs, first, 128))
     at, gram = winnow(w)
-    text = owner[at]
-    following = np.zeros(len(at), np.uint64)
-    if len(at) > 1:
-        same = text[1:] == text[:-1]
-        following[:-1][same] = gram[1:][same]
-    record = text // fields
+    record = owner[at] // fields
     words_in = np.diff(record_first)
     few = np.flatnonzero((words_in < SHORT) & (np.diff(first) > 0))
     if len(few):
         take = np.concatenate([np.arange(first[i], first[i + 1]) for i in few])
         record = np.concatenate([record, np.repeat(few, np.diff(first)[few])])
         gram = np.concatenate([gram, W.mix(pairs[take]) >> np.uint64(1)])
-        following = np.concatenate([following, np.zeros(len(take), np.uint64)])
     some = np.diff(first)[record] > 0
-    return record[some], gram[some], following[some], node, sketch
+    return record[some], gram[some], node, sketch
 
 
 def _pack(batches: Iterator[pa.RecordBatch], parts: int, train: str, fields: int) -> Iterator[pa.RecordBatch]:
@@ -119,10 +115,9 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, train: str, fields: int
         columns = [batch.column(i + 1).to_pylist() for i in range(fields)]
         held = []
         for s in W.chunks(columns):
-            record, gram, following, node, sketch = _seed_rows(W.words(_records(columns, s)), fields)
-            rows = np.empty(len(gram), dtype=[("full", "<u8"), ("next", "<u4"), ("node", "<u8"), ("sketch", "<u8", 2), ("train", "?")])
+            record, gram, node, sketch = _seed_rows(W.words(_records(columns, s)), fields)
+            rows = np.empty(len(gram), dtype=[("full", "<u8"), ("node", "<u8"), ("sketch", "<u8", 2), ("train", "?")])
             rows["full"] = gram << np.uint64(1)
-            rows["next"] = following >> np.uint64(31)
             rows["node"], rows["sketch"] = node[record], sketch[record]
             rows["train"] = split[s][record]
             held.append(rows)
@@ -144,7 +139,7 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, train: str, fields: int
                 sel = mine[mine["train"] == side]
                 if len(sel):
                     r = np.empty(len(sel), dtype=ROW)
-                    r["key"], r["next"] = sel["full"].astype(np.uint32), sel["next"]
+                    r["key"] = sel["full"].astype(np.uint32)
                     r["node"], r["sketch"] = sel["node"], sel["sketch"]
                     out.append((p, side, r.tobytes()))
         yield pa.record_batch(
@@ -159,26 +154,28 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs (train node, test node) with agreeing sketches, in blocks."""
+    """Pairs (train node, test node) with agreeing sketches, in blocks that fit the processor's cache."""
     out = [np.zeros((0, 2), np.uint64)]
-    step = max(1, 2_000_000 // max(1, len(b)))
-    for i in range(0, len(a), step):
-        x = a[i : i + step]
-        ok = _apart(x["sketch"][:, None], b["sketch"][None, :]) <= 128 - AGREE
-        u, v = np.nonzero(ok)
-        out.append(np.stack([x["node"][u], b["node"][v]], axis=1))
+    x0, x1 = (np.ascontiguousarray(a["sketch"][:, k])[:, None] for k in (0, 1))
+    y0, y1 = (np.ascontiguousarray(b["sketch"][:, k])[None, :] for k in (0, 1))
+    for i in range(0, len(a), SIDE):
+        for j in range(0, len(b), SIDE):
+            rows, columns = slice(i, i + SIDE), slice(j, j + SIDE)
+            u, v = np.nonzero(W.popcount(x0[rows] ^ y0[:, columns]) + W.popcount(x1[rows] ^ y1[:, columns]) <= 128 - AGREE)
+            if len(u):
+                out.append(np.stack([a["node"][i + u], b["node"][j + v]], axis=1))
     return np.concatenate(out)
 
 
-def _meet(a: np.ndarray, b: np.ndarray, field: str, hot: int | None) -> np.ndarray:
-    """Candidate pairs of two row arrays that share ``field``; runs above ``hot`` go on to 'next'."""
-    a, b = a[np.argsort(a[field], kind="stable")], b[np.argsort(b[field], kind="stable")]
-    keys = np.intersect1d(a[field], b[field])
-    a0, a1 = np.searchsorted(a[field], keys), np.searchsorted(a[field], keys, "right")
-    b0, b1 = np.searchsorted(b[field], keys), np.searchsorted(b[field], keys, "right")
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Candidate pairs of two row arrays that share a key, whatever its frequency."""
+    a, b = a[np.argsort(a["key"], kind="stable")], b[np.argsort(b["key"], kind="stable")]
+    keys = np.intersect1d(a["key"], b["key"])
+    a0, a1 = np.searchsorted(a["key"], keys), np.searchsorted(a["key"], keys, "right")
+    b0, b1 = np.searchsorted(b["key"], keys), np.searchsorted(b["key"], keys, "right")
     na, nb = a1 - a0, b1 - b0
     out = [np.zeros((0, 2), np.uint64)]
-    easy = na * nb <= (hot or HOT)
+    easy = na * nb <= HOT
     # all small runs at once: enumerate (i, j) by counting
     total = (na * nb)[easy]
     block = np.cumsum(total) // 2_000_000
@@ -191,11 +188,9 @@ def _meet(a: np.ndarray, b: np.ndarray, field: str, hot: int | None) -> np.ndarr
         ok = _apart(a["sketch"][i], b["sketch"][j]) <= 128 - AGREE
         out.append(np.stack([a["node"][i[ok]], b["node"][j[ok]]], axis=1))
     for k in np.flatnonzero(~easy):
-        x, y = a[a0[k] : a1[k]], b[b0[k] : b1[k]]
-        if hot and field == "key":
-            out.append(_meet(x, y, "next", None))
-        else:
-            out.append(_cross(x, y))
+        out.append(_cross(a[a0[k] : a1[k]], b[b0[k] : b1[k]]))
+        if sum(map(len, out[1:])) > HELD:  # alike records share many seeds
+            out = [np.unique(np.concatenate(out), axis=0)]
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -207,7 +202,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in list(held):
         a, b = held.pop(part)
         if a and b:
-            pairs = _meet(np.concatenate(a), np.concatenate(b), "key", HOT)
+            pairs = _meet(np.concatenate(a), np.concatenate(b))
             both = np.ascontiguousarray(pairs.T).view(np.int64)
             yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["train", "test"])
 

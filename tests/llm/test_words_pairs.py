@@ -245,6 +245,25 @@ def test_hot_seeds_lose_nothing(spark):
     assert got == want and len(want) >= 150 * 20
 
 
+def test_large_groups_of_edited_records_meet_by_every_seed():
+    """All common seeds are frequent and no two successive ones need be common: each pair that shares a seed is still compared."""
+    rng = random.Random(9)
+    base = text(rng, 95)
+    sides = [[" ".join(rng.choice(VOCAB) if rng.random() < 0.08 else x for x in base.split()) for _ in range(200)] for _ in range(2)]
+    batch = pa.record_batch([pa.array(["train"] * 200 + ["test"] * 200), pa.array(sides[0] + sides[1])], ["split", "text"])
+    (found,) = C._candidates(C._pack(iter([batch]), 1, "train", 1))
+    got = set(zip(found["train"].to_pylist(), found["test"].to_pylist(), strict=True))
+    seeds, sketches, nodes = [], [], []
+    for t in sides[0] + sides[1]:
+        r = C._seed_rows(W.words([t]), 1)
+        seeds.append(set(r[1].tolist()))
+        nodes.append(int(r[-2].view(np.int64)[0]))
+        sketches.append(r[-1][0])
+    alike = lambda i, j: C._apart(sketches[i][None], sketches[j][None])[0] <= 128 - C.AGREE
+    want = {(nodes[i], nodes[j]) for i in range(200) for j in range(200, 400) if seeds[i] & seeds[j] and alike(i, j)}
+    assert got == want and len(want) > 10_000
+
+
 def test_cross_split_without_rows(spark):
     empty = spark.createDataFrame([], "sample_id long, split string, prompt string, chosen string, rejected string")
     assert C.cross_split_overlaps(empty).count() == 0
