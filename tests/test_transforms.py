@@ -101,6 +101,26 @@ def test_replay_buffer(samples):
     assert X.replay_buffer(s.limit(0), ratio=0.1).count() == 0
 
 
+def test_replay_buffer_query_folds_every_dataset(spark, sf_dir):
+    """The registered query against a fold in plain Python, over all datasets of the tables."""
+    from prefloom.functions.rng import hash_uniform
+    from prefloom.plans.queries import QUERIES
+    from prefloom.plans.views import samples as view
+
+    s = view(spark, sf_dir, "dataset_idx", "sample_idx", "split").where("split = 'train'")
+    steps = sorted(r[0] for r in s.select("dataset_idx").distinct().collect())
+    draws = {f"k{t}": hash_uniform(f"4-keep-{t}", "dataset_idx", "sample_idx") for t in steps}
+    rows = s.select("dataset_idx", "sample_idx", hash_uniform("4-add", "dataset_idx", "sample_idx").alias("add"), *(c.alias(n) for n, c in draws.items())).collect()
+    want, held = set(), []
+    for t in steps:
+        mine = sorted((r for r in rows if r.dataset_idx == t), key=lambda r: (r["add"], r.sample_idx))
+        held += mine[: max(1, int(len(mine) * 0.1))]
+        held = sorted(held, key=lambda r: (r[f"k{t}"], r.dataset_idx, r.sample_idx))[:60]
+        want |= {(r.dataset_idx, r.sample_idx, t) for r in held}
+    got = [(r.dataset_idx, r.sample_idx, r["after"]) for r in QUERIES["replay_buffer"](spark, sf_dir).collect()]
+    assert set(got) == want and len(got) == len(want) and max(steps) > 8
+
+
 def test_verdicts(spark, samples):
     s = samples(rows(4))
     scores = spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0), (0, 2, 0.5)], "dataset_idx int, sample_idx long, score double")
