@@ -68,8 +68,6 @@ _QUOTED = re.compile(r"[\"“«][^\"”»\n]{0,120}[\"”»]")
 
 def is_refusal(text: str) -> bool:
     """Declines and gives no answer: little stands beside the refusing phrases."""
-    if len(text) > 1500:
-        return False
     flat = " ".join(_WORD.findall(_QUOTED.sub(" ", text).lower()))
     if not _CORE.search(flat):
         return False

@@ -88,6 +88,11 @@ def test_refusals(text, want):
     assert D.is_refusal(text) == want
 
 
+@pytest.mark.parametrize("text", ["I am sorry, but I can't help with that." + " \n" * 1000, "I am sorry, but I can't help with that. " * 60])
+def test_long_refusals(text):
+    assert len(text) > 1500 and D.is_refusal(text) and not D.is_refusal(text + FULL * 20)
+
+
 @pytest.mark.parametrize("text", [None, "", " \t\n", "​", "n/a", "N/A", "null", "None", "{}", "-", "...", '""', "<p></p>", "[no response]", "."])
 def test_empty(text):
     assert T.is_empty(text)
