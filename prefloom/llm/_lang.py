@@ -57,3 +57,8 @@ def text_votes(w: W.Words, source: dict[str, str] = FUNCTION_WORDS, name: str =
     """For each text the votes for each language."""
     total = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(word_votes(w, source, name), axis=0, dtype=np.float64)])
     return total[w.first[1:]] - total[w.first[:-1]]
+
+
+def common_words() -> np.ndarray:
+    """Sorted hashes of all function words."""
+    return _lookup(FUNCTION_WORDS, "function")[0]

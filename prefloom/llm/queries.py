@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm.cross_split import cross_split_overlaps, overlap_report
+from prefloom.llm.cross_split import cross_split_overlaps, overlap_links, overlap_report
 from prefloom.llm.languages import document_languages, mislabelled
 from prefloom.llm.leakage import leak_report, leaked_items
 from prefloom.llm.near_duplicates import near_duplicate_groups
@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping samples for each split and source."""
     rows = table(spark, sf_dir, "samples")
-    return overlap_report(rows, cross_split_overlaps(rows))
+    return overlap_report(rows, *overlap_links(rows))
 
 
 def p2_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from prefloom.llm import _verify as V
 from prefloom.llm import _words as W
 from prefloom.llm import cross_split as C
 from prefloom.llm import near_duplicates as N
@@ -202,9 +203,34 @@ def test_winnowing_short_texts():
     assert owners == [0, 1, 2, 4] and C.winnow(W.words(["a"]))[1][0] == h[0]
 
 
-def test_chain():
-    assert C.chain([(1, 5), (2, 6), (3, 1), (4, 7), (4, 7)]) == [(1, 5), (2, 6), (4, 7)]
-    assert C.chain([]) == []
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
+def test_chain_is_a_longest_common_subsequence(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+    got = C.chain(x, y, 3)
+    assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_repetitive_texts_are_covered_whole():
+    """More repeats of a seed than any fixed number of places."""
+    phrase = "the quick brown fox jumps over a lazy dog near my old red barn today "
+    x, y = W.words([phrase * 3 + "end"]), W.words([phrase * 200])
+    assert C.aligned(y, y) == 200 * 15
+    assert C.aligned(y, x) == 45
+    assert C.aligned(x, y) == 45
+
+
+def test_word_pairs_in_common_are_counted():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 80)).astype(np.uint64)) for _ in range(60)]
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    left, right = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
+    got = V.common(np.concatenate(sets), first, left, right)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)]
 
 
 def records(rng, n):
@@ -227,35 +253,66 @@ def test_cross_split_pairs_match_brute_force(spark):
     assert set(got) == want and (900, 901) in want
     for (a, b), r in got.items():
         assert r.likeness == pytest.approx(likeness(sets[a], sets[b])) and 0 < r.coverage <= 1
-    report = {(r.split, r.source): r for r in C.overlap_report(df, C.cross_split_overlaps(df)).collect()}
+    report = {(r.split, r.source): r for r in C.overlap_report(df, *C.overlap_links(df)).collect()}
     assert report[("test", None)].overlapping + report[("test", "s")].overlapping == len({b for _, b in want})
+    best = {r.id: r.coverage for r in C.best_coverage(*C.overlap_links(df)).collect()}
+    assert best == {i: pytest.approx(max(r.coverage for (a, b), r in got.items() if i in (a, b))) for i in {i for p in want for i in p}}
+
+
+def pairs_of(rows):
+    sets = {r[0]: shingles(*r[2:]) for r in rows}
+    return {(a[0], b[0]) for a in rows for b in rows if a[1] == "train" and b[1] == "test" and likeness(sets[a[0]], sets[b[0]]) >= 0.6}
 
 
-def test_hot_seeds_lose_nothing(spark):
-    """A phrase in every record and a third of all train records alike."""
+@pytest.mark.parametrize("limits", [{}, {"HOT": 500, "SIDE": 16}, {"HOT_BATCH": 20, "SIDE": 64}])
+def test_hot_seeds_lose_nothing(spark, monkeypatch, limits):
+    """A phrase in every record and a third of all train records alike; by the task itself, by blocks, and by blocks from the maps on."""
+    for name, value in limits.items():
+        monkeypatch.setattr(C, name, value)
     rng = random.Random(4)
     phrase = text(rng, 20)
     base = [text(rng, 50) for _ in range(3)]
     rows = [(i, "train", *(f"{phrase} {edited(rng, b, 2)}" if i % 3 == 0 else f"{phrase} {text(rng, 50)}" for b in base)) for i in range(450)]
     rows += [(1000 + i, "test", *(f"{phrase} {edited(rng, b, 2)}" if i % 3 == 0 else f"{phrase} {text(rng, 50)}" for b in base)) for i in range(60)]
     df = spark.createDataFrame(rows, "sample_id long, split string, prompt string, chosen string, rejected string")
+    want = pairs_of(rows)
     got = {(r.train_id, r.test_id) for r in C.cross_split_overlaps(df).collect()}
-    sets = {r[0]: shingles(*r[2:]) for r in rows}
-    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "train" and b[1] == "test" and likeness(sets[a[0]], sets[b[0]]) >= 0.6}
     assert got == want and len(want) >= 150 * 20
 
 
+def test_short_records_that_share_a_common_word_pair(spark):
+    """No window is shared; "of the" is in all of them and is no seed of theirs."""
+    rng = random.Random(11)
+    short = lambda: f"{' '.join(rng.choice(VOCAB) for _ in range(6))} of the {' '.join(rng.choice(VOCAB) for _ in range(6))}"
+    rows = [[i, "train", short(), short(), short()] for i in range(400)]
+    for i in range(0, 400, 4):
+        fields = [t.split() for t in rows[i][2:]]
+        for w in fields:
+            w[rng.randrange(6)] = rng.choice(VOCAB)
+        rows.append([1000 + i, "test", *(" ".join(w) for w in fields)])
+    rows += [[2000, "train", "of the", None, ""], [2001, "test", "Of the!", "", None]]
+    df = spark.createDataFrame(rows, "sample_id long, split string, prompt string, chosen string, rejected string")
+    want = pairs_of(rows)
+    got = {(r.train_id, r.test_id) for r in C.cross_split_overlaps(df).collect()}
+    assert got == want and len(want) > 80 and (2000, 2001) in want
+    w = W.words([t for r in rows[:50] for t in r[2:]])
+    p, f = W.pairs_of(w)
+    record, pair = C._rare_pairs(w, p, f[::3], 0.6)
+    assert W.pairs_of(W.words(["of the"]))[0][0] not in pair and len(np.unique(record)) == 50
+
+
 def test_large_groups_of_edited_records_meet_by_every_seed():
     """All common seeds are frequent and no two successive ones need be common: each pair that shares a seed is still compared."""
     rng = random.Random(9)
     base = text(rng, 95)
     sides = [[" ".join(rng.choice(VOCAB) if rng.random() < 0.08 else x for x in base.split()) for _ in range(200)] for _ in range(2)]
-    batch = pa.record_batch([pa.array(["train"] * 200 + ["test"] * 200), pa.array(sides[0] + sides[1])], ["split", "text"])
-    (found,) = C._candidates(C._pack(iter([batch]), 1, "train", 1))
+    batch = pa.record_batch([pa.array(["train"] * 100 + ["test"] * 100), pa.array(sides[0][:100] + sides[1][:100])], ["split", "text"])
+    other = pa.record_batch([pa.array(["train"] * 100 + ["test"] * 100), pa.array(sides[0][100:] + sides[1][100:])], ["split", "text"])
+    (found,) = C._candidates(C._pack(iter([batch, other]), 1, "train", 1, 0.6), 1)
     got = set(zip(found["train"].to_pylist(), found["test"].to_pylist(), strict=True))
     seeds, sketches, nodes = [], [], []
     for t in sides[0] + sides[1]:
-        r = C._seed_rows(W.words([t]), 1)
+        r = C._seed_rows(W.words([t]), 1, 0.6)
         seeds.append(set(r[1].tolist()))
         nodes.append(int(r[-2].view(np.int64)[0]))
         sketches.append(r[-1][0])
