@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -18,6 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_paths: dict[int, tuple] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,13 +61,22 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The result has no lineage, knows its size on disk (so Spark's own size check decides
-    about broadcasts) and outlives lost executors.  The table goes when the driver ends.
+    about broadcasts) and outlives lost executors.  The table goes with ``drop``, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prefloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that nothing reads any more."""
+    held = _paths.get(id(df))
+    if held and held[0]() is df:
+        _delete(df.sparkSession, held[1])
 
 
 def ship(spark: SparkSession) -> None:
@@ -95,8 +106,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
-    """Mark a cut table for broadcast if its counted rows fit ``limit`` bytes; else leave the join to shuffle."""
+def small(df: DataFrame, row_bytes: int = 0, limit: int = 64 << 20) -> DataFrame:
+    """Mark a cut table for broadcast if its rows, counted with their real lengths, fit ``limit`` bytes; else leave the join to shuffle.
+
+    ``row_bytes`` is a row's size where that is known to be more.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    long = [c for c, t in df.dtypes if t in ("string", "binary")]
+    per = 32 + 16 * len(df.columns)
+    held = df.agg(F.count("*"), *(F.sum(F.octet_length(c)) for c in long)).first()
+    return F.broadcast(df) if max(held[0] * max(per, row_bytes), sum(x or 0 for x in held[1:]) + held[0] * per) <= limit else df
