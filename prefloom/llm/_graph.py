@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.session import cut
+from prefloom.session import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 40) -> Dat
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each round joins the
     edges with their own neighbourhood minima, which are partially aggregated before the
-    shuffle, so a node with many neighbours never sits in one group.  Each round is cut.
+    shuffle, so a node with many neighbours never sits in one group.  Each round is cut and the one before it dropped.
     Returns (node, root); nodes without edges don't appear, nulls and loops are dropped.
     """
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
@@ -38,7 +38,8 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 40) -> Dat
         # every edge now runs from a node to a smaller one
         small = _minimum(large, F.lit(True))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges")
+        last, e = e, cut(small.where("u <> v").distinct(), "edges")
+        drop(last)
         new = _state(e)
         if new == state:
             break

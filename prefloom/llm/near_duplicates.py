@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
 from prefloom.llm._graph import components
+from prefloom.llm._verify import gather, grid, likeness, parts_for
 from prefloom.session import arrow_map, cut, ship, small
 
 THRESHOLD, BANDS, WIDTH = 0.6, 7, 2
@@ -281,33 +282,39 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verify(one: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """A partition of the grid (pairs and sets) to the pairs of enough likeness."""
+    left, right, held = gather(batches)
+    if not len(left):
+        return
+    names = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+    ids, at = np.unique(names, return_index=True)  # a node may be sent for its line and for its column
+    lists = pa.chunked_array([b.column(2) for b in held]).take(pa.array(at)).combine_chunks()
+    first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    good = likeness(values, first, np.searchsorted(ids, left), np.searchsorted(ids, right)) >= threshold - 1e-12
+    yield pa.record_batch([pa.array(left[good]), pa.array(right[good])], ["a", "b"])
+
+
+def _verify(one: DataFrame, found: DataFrame, threshold: float, parts: int) -> DataFrame:
     """Candidate pairs (a, b) whose exact likeness is at least ``threshold``."""
     wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    sets = arrow_map(one, _sets, "node long, pairs array<int>").join(small(cut(wanted, "wanted"), 16), "node", "left_semi")
-    # the sets of candidates only; beyond the checked size both joins shuffle
-    sets = small(cut(sets.dropDuplicates(["node"]), "sets"), 500)
-    left = sets.select(F.col("node").alias("a"), F.col("pairs").alias("pa"))
-    right = sets.select(F.col("node").alias("b"), F.col("pairs").alias("pb"))
-    both = F.size(F.array_intersect("pa", "pb"))
-    return (
-        found.join(left, "a")
-        .join(right, "b")
-        .where(both >= F.lit(threshold) * (F.size("pa") + F.size("pb") - both) - F.lit(1e-9))
-        .select("a", "b")
-    )
+    sets = arrow_map(one, _sets, "node long, pairs array<int>").join(small(cut(wanted, "wanted")), "node", "left_semi")
+    cells = grid(found, sets.dropDuplicates(["node"]), parts)
+    return arrow_map(cells, lambda it: _alike(it, threshold), "a long, b long")
 
 
 def text_components(texts: DataFrame, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): the component of every text fingerprint that has a link of likeness ``threshold``."""
     ship(texts.sparkSession)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = texts.select(F.col(text).alias("text")).where("text is not null")
+    # enough partitions for the table rows of all texts, so that a task's share doesn't grow with the input
+    parts = parts_for(one.count() * BANDS * BANDS * ROW.itemsize, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blobs = arrow_map(one, lambda it: _pack(it, parts), "part int, blob binary")
     found = arrow_map(blobs.repartitionById(parts, F.pmod("part", F.lit(parts))), lambda it: _candidates(it, parts), FOUND).distinct()
     found = cut(found, "candidates")
     pairs, members = found.where("b is not null").select("a", "b"), found.where("b is null")
-    links = _verify(one, pairs, threshold)
+    links = _verify(one, pairs, threshold, parts)
     if members.isEmpty():
         return components(links, "a", "b")
     links = cut(links, "links")
@@ -315,7 +322,7 @@ def text_components(texts: DataFrame, text: str, threshold: float = THRESHOLD) -
     more = cut(_rest(members, roots), "rest")
     if more.isEmpty():
         return roots
-    return components(links.union(_verify(one, more, threshold)), "a", "b")
+    return components(links.union(_verify(one, more, threshold, parts)), "a", "b")
 
 
 def near_duplicate_groups(rows: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
