@@ -59,6 +59,13 @@ def text_votes(w: W.Words, source: dict[str, str] = FUNCTION_WORDS, name: str =
     return total[w.first[1:]] - total[w.first[:-1]]
 
 
+def word_bits(w: W.Words) -> np.ndarray:
+    """For each word and language whether it is a function word there."""
+    keys, table = _lookup(FUNCTION_WORDS, "function")
+    at = np.minimum(np.searchsorted(keys, w.hashes), len(keys) - 1)
+    return (keys[at] == w.hashes)[:, None] & (table[at] > 0)
+
+
 def common_words() -> np.ndarray:
     """Sorted hashes of all function words."""
     return _lookup(FUNCTION_WORDS, "function")[0]

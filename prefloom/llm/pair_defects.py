@@ -16,18 +16,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
-from prefloom.llm._lang import LANGUAGE_NAMES, text_votes
+from prefloom.llm._lang import FUNCTION_WORDS, LANGUAGE_NAMES, text_votes, word_bits
 from prefloom.llm.truncation import is_empty, truncated_fields
 from prefloom.session import arrow_map
 
 #: A copy holds this share of its own words and of the prompt's words in copied runs of RUN words or more.
 COPIED, RETURNED, RUN = 0.7, 0.5, 3
-#: Share of the response's word pairs below which no such coverage is possible, so the automaton isn't built.
+#: Share of the response's word pairs below which no such coverage by runs of RUN words is possible, so the automaton isn't built.
 POSSIBLE = 0.4
-#: Function-word votes: the response's own language needs this share and number, the prompt's at most the last.
+#: Of a response's function words a share of OWN, and VOTES of them, must be words of its own language, and at most a share of LEFT may be
+#: words of the prompt's language and not of its own.  A word that both have (a, do, as) speaks for neither.
 OWN, VOTES, LEFT = 0.6, 3.0, 0.15
 #: A refusal's words outside refusal phrases: at most this share, or any in a text of at most BRIEF words.
 AROUND, BRIEF = 0.3, 30
+#: Share of an English refusal's words that are neither function words nor words about asking and answering.
+CONTENT = 0.2
+
+#: The English refusal automaton: a negation, a few linking words, an act of answering.  Fixed values, by class.
+_NEGATION = (
+    r"(?:can|could|will|would|do|does|did|must|may|might|shall|should|am|are|is|was|m|re|s|be|have|has|had) not|(?:can|couldn|won|wouldn|don|doesn|didn|mustn|shouldn|isn|aren|wasn|haven|hasn) t"
+    r"|cannot|cant|wont|dont|never|unable|refus\w+|declin\w+|forbidden|forbids?|prohibit\w*|prevents?|barred|not"
+)
+_LINK = (
+    r"able|about|a|allow|allowed|an|and|any|anything|appropriate|asked|at|authori[sz]ed|be|been|being|can|comfortable|could|currently|designed|doing|even|ever|feel|for|free|from|further|get|give|giving|going|good|conscience|is|one|part|possible"
+    r"|happy|here|honestly|i|in|inclined|into|it|know|let|liberty|like|make|me|meant|more|my|of|offer|on|open|or|permitted|position|possibly|prepared|provide|ready|really|right|should"
+    r"|simply|supposed|taking|that|the|think|this|to|truly|try|us|want|we|willing|wish|with|would|you|your"
+)
+_ACT = (
+    r"help\w*|assist\w*|answer\w*|respon\w+|repl(?:y|ies|ied|ying)|discuss\w*|comment\w*|talk\w*|speak\w*|writ\w+|provid\w+|shar\w+|compl(?:y|ied|ying)|fulfil\w*|engag\w+|say|tell|address\w*|handl\w+|advi[sc]\w+"
+    r"|explain\w*|continu\w+|contribut\w+|participat\w+|proceed\w*|do|weigh|touch|entertain|oblige|opinion\w*|elaborate|statement|go|request\w*|information|guidance|input"
+)
+_IMPERSONAL = (
+    r"no comment|no answer (?:from|will|can|is)|off limits|out of bounds|off the table|nothing (?:to say|to add|i can say|more to say)|(?:beyond|outside)(?: of)? (?:what (?:i|we)|my|our|the scope)"
+    r"|(?:inappropriate|improper|wrong|unethical|irresponsible)(?: of| for| if)? (?:me|us|i|we)\b|against (?:my|our|the) (?:guidelines|policy|policies|rules|principles|instructions)"
+    r"|\bi (?:must |have to |will |would |respectfully |politely |need to |going to |am |m |shall |ll |d )*(?:decline|refuse|pass|abstain|refrain)\b|not possible for (?:me|us)|not (?:something|a (?:topic|subject|question|matter|request)|one) (?:that )?(?:i|we)\b"
+    r"|(?:rather|prefer) not|keep (?:silent|quiet|out)|stay (?:silent|quiet|out)|(?:my|our) (?:guidelines|rules|instructions|policies|policy) (?:do not|don t|forbids?|prevents?|prohibits?)|do not feel comfortable|don t feel comfortable|(?:will|must) be (?:left )?unanswered|talk about something (?:different|else)"
+)
+_REFUSE_EN = re.compile(rf"\b(?:(?:{_NEGATION})(?: (?:{_LINK})){{0,7}} (?:{_ACT})|{_IMPERSONAL})\b")
+_SELF = re.compile(r"\b(?:i|we|me|my|us|our|this (?:assistant|service|system|model))\b|^no comment")
+#: Words about asking, answering and declining; with the function words they make up nearly all of a refusal.
+_ABOUT = frozenset(
+    "able abstain add barred conscience designed giving handle taking address advice advise afraid against ai allow allowed alternative am answer answered answering answers any anything apologies apologise apologize appropriate area are aren ask asked asking assist assistance"
+    " assistant authorised authorized aware beyond bounds can cannot comfortable comment complete comply consider consult contact content continue contribute convey couldn decline declining different difficult discuss discussing"
+    " discussion do doesn don done elaborate else engage entertain ethical expert explain feel fine find forgive free fulfil fulfill further give glad go going good guidance guidelines happy harmful have haven help helped"
+    " helpful helping here honest honestly hope how i idea inappropriate inclined information input instead instructions interest issue keep kind kindly know language least let liberty like limits m matter may me mean might model"
+    " more must my need never nothing off offer once opinion our outside part participate pass perhaps permission permitted please point policies policy position possible practice prefer prepared privacy private proceed professional"
+    " prohibited prompt proper provide question questions quiet rather ready really reason reasons refrain refuse refusing regret related rephrase replies reply request requests respect respectfully respond responding response"
+    " responses right rule rules safe safety say scope seek sensitive sensible service share should silent silence simply since something sorry sort speak specialist statement stay subject suggest support sure system t talk"
+    " talking tell thank thanks the thing things think this to today topic topics touch truly try turn unable unanswered understand understanding unfortunately us want was wasn we weigh willing wish won word words work would wouldn write"
+    " writing wrong yes you your".split()
+) | frozenset(FUNCTION_WORDS["en"].split())
+_TRIGGERS = frozenset(
+    "not t cannot cant wont dont never unable refuse refusing decline declining forbidden forbids prohibited prohibits prevent prevents barred comment limits bounds table nothing beyond outside inappropriate improper wrong unethical irresponsible against pass abstain refrain keep stay unanswered no something".split()
+)
 
 #: Refusing cores and courteous surroundings, as patterns over lower-cased words joined by one space.
 _CORES = (
@@ -59,6 +100,10 @@ _COURTESY = (
     r"lamento(?: mas)?|desculp\w+|com isso|a esta pergunta|sobre esse assunto|falar",
     r"к сожалению|извините(?: но)?|на этот вопрос|эту тему|обсуждать|с этим|я",
 )
+#: Words of which every core has at least one.
+_CORE_WORDS = frozenset(
+    "t not cannot unable decline refuse rather permission no falls fall against nicht keine pas impossible préfère refuse puedo prefiero niet liever mag niets não prefiro не нельзя предпочитаю".split()
+)
 _CORE = re.compile(r"\b(?:" + "|".join(_CORES) + r")\b")
 _AROUND = re.compile(r"\b(?:" + "|".join(_CORES + _COURTESY) + r")\b")
 _WORD = re.compile(r"[^\W_]+")
@@ -68,10 +113,13 @@ _QUOTED = re.compile(r"[\"“«][^\"”»\n]{0,120}[\"”»]")
 
 def is_refusal(text: str) -> bool:
     """Declines and gives no answer: little stands beside the refusing phrases."""
-    flat = " ".join(_WORD.findall(_QUOTED.sub(" ", text).lower()))
-    if not _CORE.search(flat):
-        return False
+    words = _WORD.findall(_QUOTED.sub(" ", text).lower())
+    flat = " ".join(words)
     total = len(_WORD.findall(text))
+    if not _TRIGGERS.isdisjoint(words) and sum(x not in _ABOUT for x in words) + total - len(words) <= CONTENT * total and _SELF.search(flat) and _REFUSE_EN.search(flat):
+        return True
+    if _CORE_WORDS.isdisjoint(words) or not _CORE.search(flat):
+        return False
     outside = len(_WORD.findall(_AROUND.sub(" ", flat))) + total - len(flat.split())
     return outside <= AROUND * total or total <= BRIEF and outside <= 0.75 * total
 
@@ -167,10 +215,13 @@ def _inspect(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iter
             for name, own in zip(fields, texts[1:], strict=True):
                 w = W.words(own)
                 v = text_votes(w)
-                total = v.sum(axis=1)
                 top = v.argmax(axis=1)
                 rows = np.arange(len(own))
-                foreign = (top != p_top) & (v[rows, top] >= VOTES) & (v[rows, top] >= OWN * total) & (v[rows, p_top] <= LEFT * total) & (pv[rows, p_top] >= 2) & (pv[rows, p_top] >= 0.5 * pv.sum(axis=1)) & (named[rows, top] == 0)
+                bits, owner = word_bits(w), w.owner()
+                mine = bits[np.arange(len(owner)), top[owner]]
+                count = lambda x, n=len(own), owner=owner: np.bincount(owner[x], minlength=n)
+                alone, heard = count(bits[np.arange(len(owner)), p_top[owner]] & ~mine), count(bits.any(axis=1))
+                foreign = (top != p_top) & (v[rows, top] >= VOTES) & (count(mine) >= OWN * heard) & (alone <= LEFT * heard) & (pv[rows, p_top] >= 2) & (pv[rows, p_top] >= 0.5 * pv.sum(axis=1)) & (named[rows, top] == 0)
                 rp, rf = W.pairs_of(w)
                 with np.errstate(over="ignore"):
                     rkeys = mark(rp, rf)
@@ -180,7 +231,7 @@ def _inspect(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iter
                     shared = sums[rf[1:]] - sums[rf[:-1]]
                 else:
                     shared = np.zeros(len(own), np.int64)
-                count = np.diff(rf)
+                pairs = np.diff(rf)
                 for i, text in enumerate(own):
                     if is_empty(text):
                         add(base + i, name, "empty")
@@ -190,7 +241,9 @@ def _inspect(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iter
                     if foreign[i]:
                         add(base + i, name, "language")
                     words = w.first[i + 1] - w.first[i]
-                    if shared[i] >= POSSIBLE * count[i] and words and prompts.first[i + 1] > prompts.first[i]:
+                    asked = prompts.first[i + 1] - prompts.first[i]
+                    # runs of a prompt under RUN words are shorter than the bound assumes
+                    if words and asked and (asked < RUN or shared[i] >= POSSIBLE * pairs[i]):
                         a = prompts.hashes[prompts.first[i] : prompts.first[i + 1]].tolist()
                         b = w.hashes[w.first[i] : w.first[i + 1]].tolist()
                         if is_copy(a, b):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,95 @@ def test_refusals(text, want):
     assert D.is_refusal(text) == want
 
 
+#: Refusals as people write them.  The automaton knew 46 of them when they were first tried; its classes were then widened.
+HELD_OUT = """I refuse to answer.
+I decline.
+No comment.
+It would be inappropriate for me to reply.
+This topic is off limits for me.
+That is beyond what I am prepared to go into.
+I'd rather not get into that.
+I am not at liberty to say.
+Sorry, that's something I won't be discussing.
+I have nothing to say on this matter.
+My guidelines prevent me from responding to this.
+I'm afraid this is not something I can write.
+Answering this is not possible for me.
+I must respectfully decline to comment.
+We are unable to share any information about this subject.
+I don't think I should answer that.
+I'm not the right one to advise you here, so I won't.
+I will not be taking part in this discussion.
+This is outside of my area, so I can't help.
+I am not comfortable talking about this.
+I won't provide guidance on this topic.
+I can't offer an opinion about that, sorry.
+I cannot in good conscience respond to this request.
+As a language model, I'm not able to fulfil this request.
+I shall refrain from answering.
+Unfortunately I am not permitted to speak about it.
+I would prefer not to answer this.
+I'm going to pass on this one.
+I do not wish to discuss this.
+My instructions do not allow me to answer questions of this sort.
+It is against our policy to give advice on this.
+I can't say anything about this topic.
+I have been asked not to talk about that subject.
+That is not a question I can answer.
+I never comment on such matters.
+I apologise, but I can't engage with this.
+We won't respond to this.
+Please understand that I can't continue with this request.
+This assistant is not designed to handle such requests.
+I could not possibly comment.
+Thank you for your understanding, but I won't be able to assist.
+I'm sorry, I can't go there.
+I am not willing to write this.
+Let us change nothing here: I will not reply.
+I don't feel it is right for me to weigh in.
+You should ask somebody else, since I won't answer.
+I will keep quiet about that.
+Sorry, this question must be left unanswered by me.
+I am barred from giving any statement.
+I prefer to stay out of this discussion, sorry.
+I choose not to respond.
+Responding to that would be wrong for me.
+There is nothing I can say here.
+I am forbidden to touch this topic.""".split("\n")
+#: Answers that contain a negation, a first person or a word about answering.
+ANSWERS = """I do not have a boat, I have a sled and a red hat.
+We can not go to the barn today because the cow is asleep by the door.
+The bridge could not support the load, so the crew of Morgo moved the crane to the north bank before the frost.
+No answer came from the mill until the miller wrote to the council about the wheel.
+I would not write the whole list down; the baker keeps the flour dry and the salt near the oven.
+My brother will not help the farmer carry the stone, so the horse pulls the cart.
+The request must not exceed forty barrels, and the harbour office does not provide ropes.
+I never go to the market without the basket, the scale and two brass weights.""".split("\n")
+
+
+def test_refusals_held_out():
+    assert len(HELD_OUT) >= 50
+    missed = [t for t in HELD_OUT if not D.is_refusal(t)]
+    assert len(missed) <= 0.1 * len(HELD_OUT), missed
+    assert not [t for t in ANSWERS if D.is_refusal(t)]
+
+
+@pytest.mark.parametrize(("prompt", "response", "want"), [("Stop", "stop stop stop now", True), ("Stop now", "Stop now.", True), ("Stop", "go on", False), ("", "stop", False)])
+def test_copies_of_very_short_prompts(prompt, response, want):
+    batch = pa.record_batch([pa.array([1]), pa.array([prompt]), pa.array([response])], ["id", "p", "r"])
+    (out,) = D._inspect(iter([batch]), ("r",))
+    assert (out["defect"].to_pylist() == ["copy"]) == want
+
+
+def test_words_of_both_languages_speak_for_neither():
+    """Portuguese has a, do and as in common with English."""
+    english = "Compare the method with the barge that the crew kept as a spare and do not forget the harbour."
+    portuguese = "Dizem no pátio que a bomba de Mornor ainda protege a janela, porque a forja é demasiado frágil. Durante a ceifa a telha também alcança a fonte do porto, e as casas só depois."
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([english, english]), pa.array([portuguese, english + " " + portuguese])], ["id", "p", "r"])
+    (out,) = D._inspect(iter([batch]), ("r",))
+    assert list(zip(out["id"].to_pylist(), out["defect"].to_pylist(), strict=True)) == [(1, "language")]
+
+
 @pytest.mark.parametrize("text", ["I am sorry, but I can't help with that." + " \n" * 1000, "I am sorry, but I can't help with that. " * 60])
 def test_long_refusals(text):
     assert len(text) > 1500 and D.is_refusal(text) and not D.is_refusal(text + FULL * 20)
