@@ -2,10 +2,11 @@
 
 Method: a stack automaton reads each whole text once and keeps what is open at its end (quotes,
 brackets, fences, markup); the tail is then judged by structure: broken characters and escapes,
-list items, signatures, closing marks, terminators.  Tails that structure cannot decide (an
-ellipsis, a list item, a text in a style without any terminator) are judged by baselines over
-all texts: how often a word ends a sentence, whether it is only the beginning of a frequent word, whether
-sentences that begin like a closing phrase mostly stop there, and the length limits each source shows.
+list items, signatures, closing marks, terminators.  A mark left open behind a finished sentence and a missing
+terminator count as cuts unless the text's source has the habit of them (its own rate over all its texts).  Tails that
+structure cannot decide (an ellipsis, a list item, a text in a style without any terminator) are judged by baselines
+over all texts: how often a word ends a sentence, whether it is only the beginning of a frequent word, whether sentences that
+begin like a closing phrase mostly stop there, and the length limits each source shows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from prefloom.session import arrow_map, cut, small
 
 #: Marks that end a sentence, and pairs of opening and closing marks.
 TERMINATORS = ".?!。？！؟"
-CLOSERS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
+CLOSERS = {")": "(", "]": "[", "}": "{", "»": "«", "«": "»", "”": "“„", "“": "„"}
+#: Elements that need no end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd option tr td th thead tbody tfoot colgroup".split())
+#: Names of which a text's last characters may be the beginning, after an ampersand.
+ENTITIES = "amp lt gt quot apos nbsp mdash ndash hellip copy reg trade euro laquo raquo ldquo rdquo lsquo rsquo bdquo sbquo middot bull eacute egrave ecirc euml agrave aacute acirc atilde auml aring ccedil iacute igrave icirc ntilde oacute ograve ocirc otilde ouml uacute ugrave ucirc uuml szlig".split()
 #: Texts that stand for no answer.
 PLACEHOLDERS = frozenset(
     "n/a na nil null none nan undefined unknown empty blank missing todo tbd tba void -"
@@ -36,17 +41,25 @@ ABBREVIATIONS = frozenset("cf mr mrs ms dr prof st vs viz approx bzw z.b u.a d.h
 
 _TRAIL = " \t\r\n\v\f\u00a0\u200b\u200c\u200d\u2060\ufeff"
 _TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>|<!--|-->")
-_MARKS = re.compile(r"```|[<()\[\]{}«»“”\"\n.?!]")
+_MARKS = re.compile(r"```|[<()\[\]{}«»„“”\"\n.?!]")
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|[a-zA-Z][.)])(?:\s+|$)")
 _SIGNED = re.compile(r"^\s*[—–-]{1,2}\s*[^\W\d_][\w.'’-]*(?:\s[^\W\d_][\w.'’-]*){0,3}\s*$")
 _LABEL = re.compile(r"^\s*[^\W\d_]+(?:\s[^\W\d_]+)?\s*:$")
 _CODE = re.compile(r"^(?: {4}|\t)\S")
-_ESCAPE = re.compile(r"(?:\\|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&[a-zA-Z]{1,8}|&#\d{0,6}|%[0-9A-Fa-f]?|<[/A-Za-z][^<>]{0,60})$")
+#: A broken escape, reference, percent code or tag.  A bare percent sign follows a number in a finished text, a name like R&D or AT&T is no
+#: reference, and a backslash may end a path.
+_ESCAPE = re.compile(
+    r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<![A-Z])&(?:" + "|".join(sorted({e[:k] for e in ENTITIES for k in range(1, len(e) + 1)}, key=len, reverse=True)) + r")|&#[xX]?[0-9a-fA-F]{0,6}"
+    r"|(?:(?<![\d\s])|(?<=%[0-9A-Fa-f]{2}))%[0-9A-Fa-f]?|%[A-Fa-f]|<[/A-Za-z][^<>]{0,60})$"
+)
+_FACE = re.compile(r"(?:^|(?<=\s))[:;=][-']?$")
+_PATH = re.compile(r"(?:^|[\s\"'(])(?:[A-Za-z]:|\\\\)[^\s\"']*$")
 _WORD = re.compile(r"[^\W_]+")
-_LAST = re.compile(r"([^\W_]+)[\W_]*$")
 _EMPTYTAGS = re.compile(r"<[^<>]*>|&nbsp;")
 
-COMPLETE, CUT, ASK_WORD, ASK_ITEM, ASK_ELLIPSIS = 0, 1, 2, 3, 4
+COMPLETE, CUT, ASK_WORD, ASK_ITEM, ASK_ELLIPSIS, ASK_OPEN, ASK_BARE = range(7)
+#: Characters a sentence may have on average in a text that is written in sentences at all.
+STYLE = 600
 
 
 def is_empty(text: str | None) -> bool:
@@ -83,7 +96,7 @@ def open_marks(text: str) -> tuple[list[tuple[str, int]], int]:
             continue
         elif c == "<":
             tag = _TAG.match(text, i)
-            if tag and tag.group(2) and not tag.group(3):
+            if tag and tag.group(2) and not tag.group(3) and tag.group(2).lower() not in VOID:
                 if not tag.group(1):
                     stack.append(("<", i))
                 else:  # a closing tag closes the nearest element, whatever its name
@@ -92,23 +105,48 @@ def open_marks(text: str) -> tuple[list[tuple[str, int]], int]:
                             del stack[k:]
                             break
         elif c == '"':
+            again = text[max(0, i - 2) : i] == "\n\n" and text[i + 1 : i + 2].strip()  # a quotation reopens in its next paragraph
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == '"':
                     del stack[k:]
+                    if again:
+                        stack.append((c, i))
                     break
             else:
+                if not (i and text[i - 1].isdigit()):  # inches and seconds
+                    stack.append((c, i))
+        elif c in "([{„":
+            if not (c == "(" and _FACE.search(text, max(0, i - 3), i)):
                 stack.append((c, i))
-        elif c in "([{«“":
-            stack.append((c, i))
         else:
             want = CLOSERS[c]
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == want:
+                if stack[k][0] in want:
                     del stack[k:]
                     break
+            else:
+                if c in "«»“":  # opens or closes, by custom
+                    stack.append((c, i))
     return stack, last
 
 
+def last_word(s: str) -> str:
+    """The last run of letters or digits, in lower case."""
+    end = len(s)
+    while end and not s[end - 1].isalnum():
+        end -= 1
+    start = end
+    while start and s[start - 1].isalnum():
+        start -= 1
+    return s[start:end].lower()
+
+
+def hanging(s: str, stack: list[tuple[str, int]]) -> bool:
+    """Whether a bracket or an element is open, or a quotation begun in the last paragraph (longer ones may reopen in each)."""
+    paragraph = s.rfind("\n\n")
+    return any(m in "([{<" or i > paragraph for m, i in stack)
+
+
 def _symbols(s: str) -> str:
     """Drop emoji and other symbols from the end."""
     i = len(s)
@@ -123,7 +161,8 @@ def verdict(text: str | None) -> tuple[int, str, str, int]:
         return COMPLETE, "", "", 0
     assert text is not None
     s = text.rstrip(_TRAIL)
-    if s.endswith("\ufffd") or _ESCAPE.search(s[-80:]):
+    # no escape is longer than 80 characters
+    if s.endswith("\ufffd") or _ESCAPE.search(s[-80:]) or s.endswith("\\") and not _PATH.search(s[s.rfind("\n") + 1 :]):
         return CUT, "", "", 0
     stack, _ = open_marks(s)
     if any(m == "```" for m, _ in stack):
@@ -131,8 +170,7 @@ def verdict(text: str | None) -> tuple[int, str, str, int]:
     line = s[s.rfind("\n") + 1 :]
     if any(m == "<" and i >= len(s) - len(line) for m, i in stack):
         return CUT, "", "", 0
-    word = _LAST.search(s[-200:])
-    last = word.group(1).lower() if word else ""
+    last = last_word(s)
     if "\n" in s:
         if _ITEM.match(line):
             rest = line[_ITEM.match(line).end() :]
@@ -156,15 +194,17 @@ def verdict(text: str | None) -> tuple[int, str, str, int]:
         return ASK_ELLIPSIS, last, phrase, edge + 1
     if bare[-1] in TERMINATORS:
         tail = bare[:-1].rsplit(None, 1)[-1].lower() if bare[:-1].strip() else ""
-        return (CUT if bare[-1] == "." and tail in ABBREVIATIONS else COMPLETE), "", "", 0
+        if bare[-1] == "." and tail in ABBREVIATIONS:
+            return CUT, "", "", 0
+        return (ASK_OPEN if hanging(s, stack) else COMPLETE), last, "", 0
     # no terminator: the text's own style decides whether it should have one
     n = len(s)
     ends = len(re.findall(r"[.?!。](?=[\s\"'»”)]|$)", bare))
     if symbols and not ends:
         return ASK_WORD, last, "", 0
-    if ends == 0 or n / (ends + 1) > 600:
+    if ends == 0 or n / (ends + 1) > STYLE:
         return ASK_WORD, last, "", 0
-    return CUT, "", "", 0
+    return ASK_BARE, last, "", 0
 
 
 _SCHEMA = "id {}, source string, field string, verdict int, word string, phrase string, before long, n_chars int, n_bytes int"
@@ -211,7 +251,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[h][1] += k
                 held[h][2] += e
             else:
-                held[h] = [w.text[w.start[i] : w.end[i]][:200], k, e]
+                held[h] = [w.text[w.start[i] : w.end[i]], k, e]
 
     def out() -> pa.RecordBatch:
         rows = list(held.values())
@@ -272,7 +312,7 @@ def _count_openings(batches: Iterator[pa.RecordBatch], lengths: list[int], marks
                     whole = W.mix(key * np.uint64(3) + w.hashes[last])
                 _, at, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
                 closes = np.bincount(inverse, weights=final[long] & (size[long] == length), minlength=len(at)).astype(np.int64)
-                words = [w.text[w.start[i] : w.end[i]][:200] for i in last[at].tolist()]
+                words = [w.text[w.start[i] : w.end[i]] for i in last[at].tolist()]
                 yield pa.record_batch(
                     [pa.array(np.full(len(at), length, np.int32)), pa.array(key[at].view(np.int64)), pa.array(words, pa.string()), pa.array(n.astype(np.int64)), pa.array(closes)],
                     ["words", "key", "word", "n", "closes"],
@@ -287,7 +327,7 @@ def _phrase_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = W.words([phrase])
             if n := len(w.hashes):
                 key = _openings(w, np.zeros(1, np.int64), n)
-                out.append((phrase, n, int(key.view(np.int64)[0]), w.text[w.start[-1] : w.end[-1]][:200]))
+                out.append((phrase, n, int(key.view(np.int64)[0]), w.text[w.start[-1] : w.end[-1]]))
         yield pa.record_batch(
             [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())],
             ["phrase", "words", "key", "last"],
@@ -316,6 +356,11 @@ FRAGMENT_SEEN, PREFIX_SEEN = 3, 20
 PHRASE_TEXTS, CLOSING = 3, 0.5
 #: Marks by which sentences that begin like no closing phrase are passed over; a power of two.
 MARKS = 1 << 18
+#: Shares of a source's texts (with EVIDENCE texts without them added) above which a missing terminator, and a mark left open behind a
+#: finished sentence, are the source's habit and no sign of a cut.
+HABIT_BARE, HABIT_OPEN, EVIDENCE = 0.5, 0.02, 200
+#: Beginnings of words up to this length are listed; longer ones are compared with each other.
+LISTED = 200
 #: A length at which this many texts of a source and field are surely cut is a limit of that source.
 LIMIT_CUTS = 5
 
@@ -335,7 +380,7 @@ def truncated_fields(
     # (id, field) once: deliveries of one id have the same content
     scanned = arrow_map(picked, lambda it: _scan(it, fields), _SCHEMA.format(kind)).dropDuplicates(["id", "field"])
     scanned = cut(scanned, "tails")
-    sure = scanned.where(F.col("verdict") == CUT)
+    sure = scanned.where(F.col("verdict").isin(CUT, ASK_BARE))
     asked = scanned.where(F.col("verdict") != CUT)
 
     phrases = _closing_phrases(rows, asked, fields)
@@ -343,24 +388,29 @@ def truncated_fields(
     words = cut(words, "vocabulary")
     wanted = asked.select("word").distinct()
     known = words.join(wanted, "word")
-    starts = (
-        words.where(F.col("n") >= PREFIX_SEEN)
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.col("word").substr(F.lit(1), k))).alias("word"))
-        .where(F.length("word") > 0)
-        .distinct()
-        .join(wanted, "word")
-        .withColumn("begins", F.lit(True))
-    )
+    frequent = words.where(F.col("n") >= PREFIX_SEEN)
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LISTED))), lambda k: F.col("word").substr(F.lit(1), k))
+    starts = frequent.where(F.length("word") > 1).select(F.explode(heads).alias("word")).distinct().join(wanted, "word")
+    head = F.substring("word", 1, LISTED).alias("head")
+    long = wanted.where(F.length("word") > LISTED).select("word", head).join(frequent.where(F.length("word") > LISTED + 1).select(F.col("word").alias("whole"), head), "head")
+    long = long.where((F.length("whole") > F.length("word")) & F.col("whole").startswith(F.col("word"))).select("word").distinct()
+    starts = starts.union(long).withColumn("begins", F.lit(True))
     # a limit is a length at which a source's texts are often cut and which none exceeds
     sizes = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.length(f).alias("n_chars"), F.octet_length(f).alias("n_bytes")) for f in fields)))
     greatest = rows.select(F.col(source_col).cast("string").alias("source"), sizes.alias("z")).groupBy("source", F.col("z.field").alias("field"))
-    greatest = cut(greatest.agg(F.max("z.n_chars").alias("n_chars"), F.max("z.n_bytes").alias("n_bytes")), "greatest")
+    greatest = cut(greatest.agg(F.max("z.n_chars").alias("n_chars"), F.max("z.n_bytes").alias("n_bytes"), F.count("z.n_chars").alias("texts")), "greatest")
+    # habits: one row a source and field
+    signs = scanned.groupBy("source", "field").agg(*(F.sum((F.col("verdict") == v).cast("int")).alias(name) for name, v in (("bare", ASK_BARE), ("open", ASK_OPEN))))
+    signs = signs.alias("s").join(greatest.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.field") == F.col("g.field")))
+    share = lambda c: F.col(c) / (F.col("texts") + F.lit(EVIDENCE))
+    signs = signs.select(F.col("s.source").alias("s"), F.col("s.field").alias("f"), (share("bare") > HABIT_BARE).alias("bare_habit"), (share("open") > HABIT_OPEN).alias("open_habit"))
     limit = [
         sure.groupBy("source", "field", F.col(size).alias("size")).agg(F.count("*").alias("cuts")).where(F.col("cuts") >= LIMIT_CUTS).alias("c")
         .join(greatest.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.field") == F.col("g.field")) & (F.col("size") >= F.col(f"g.{size}") - slack))
         .select("c.source", "c.field", F.col("size").alias(size), F.lit(True).alias(f"at_{size}"))
         for size, slack in (("n_chars", 0), ("n_bytes", 3))  # a limit in bytes may spare a broken character
     ]
+    asked = asked.join(signs, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")), "left").drop("s", "f")
     judged = asked.join(known, "word", "left").join(starts, "word", "left").join(phrases, "phrase", "left")
     for side, size in zip(limit, ("n_chars", "n_bytes"), strict=True):
         side = side.withColumnRenamed("source", "s").withColumnRenamed("field", "f").withColumnRenamed(size, "z")
@@ -371,10 +421,12 @@ def truncated_fields(
     is_cut = (
         F.when(F.col("verdict") == ASK_ELLIPSIS, ~F.coalesce("closing", F.lit(False)) | at_limit)
         .when(F.col("verdict") == ASK_ITEM, fragment | at_limit)
+        .when(F.col("verdict") == ASK_OPEN, ~F.col("open_habit") | at_limit)
+        .when((F.col("verdict") == ASK_BARE) & ~F.col("bare_habit"), True)
         .otherwise(fragment | F.coalesce(dangling, F.lit(False)) | at_limit)
     )
     keep = ["id", "source", "field", "n_chars", "n_bytes"]
-    return sure.select(*keep).union(judged.where(is_cut).select(*keep)).withColumnRenamed("id", id_col)
+    return scanned.where(F.col("verdict") == CUT).select(*keep).union(judged.where(is_cut).select(*keep)).withColumnRenamed("id", id_col)
 
 
 def truncation_report(rows: DataFrame, cut_fields: DataFrame, id_col: str = "sample_id", source_col: str = "source", fields: tuple[str, ...] = ("prompt", "chosen", "rejected")) -> DataFrame:

@@ -25,8 +25,17 @@ FULL = "The sluice was first tested in Morgo, where a barge lifts the narrow loo
         (FULL, T.COMPLETE), (FULL + " 🙂", T.COMPLETE), (FULL + "\n", T.COMPLETE), (FULL + "\n- loom\n* barge", T.ASK_ITEM), (FULL + "\n- ", T.CUT),
         (FULL + "\n— Morgo", T.COMPLETE), (FULL + "\n```\nlevel = 3\n```", T.COMPLETE), (FULL + "\n```\nlevel = 3", T.CUT), (FULL + "\n\n    total = 2 + 3", T.COMPLETE),
         (FULL + "\n<value>3</value>", T.COMPLETE), (FULL + "\n<value>3</row>", T.COMPLETE), (FULL + "\n<value>3", T.CUT), (FULL + "\n<val", T.CUT), (f'"{FULL}"', T.COMPLETE),
-        (FULL[:-9], T.CUT), (FULL[:-9] + "   ", T.CUT), (FULL[:-9] + "�", T.CUT), (FULL[:-9] + "…", T.ASK_ELLIPSIS), (FULL + " Cf.", T.CUT), (FULL + " It says \\u00", T.CUT),
+        (FULL[:-9], T.ASK_BARE), (FULL[:-9] + "   ", T.ASK_BARE), (FULL[:-9] + "�", T.CUT), (FULL[:-9] + "…", T.ASK_ELLIPSIS), (FULL + " Cf.", T.CUT), (FULL + " It says \\u00", T.CUT),
         (FULL + "\nA:", T.COMPLETE), ("does the loom even work on a barge", T.ASK_WORD), (None, T.COMPLETE), ("", T.COMPLETE), (" \n", T.COMPLETE), ("n/a", T.COMPLETE), ("x" * 100_000, T.ASK_WORD),
+        # marks left open behind a finished sentence
+        ("He explained the plan (see the long appendix for more details.", T.ASK_OPEN), ('She said "we will never go back to that place.', T.ASK_OPEN), ("Elle dit «an open quote that never closes.", T.ASK_OPEN),
+        ('It has {"a": [1, 2, 3.', T.ASK_OPEN), ("The note says „we go home.", T.ASK_OPEN), ("<div>\nThe loom holds.", T.ASK_OPEN), ("See <b>the loom.", T.CUT),
+        # and marks that aren't
+        ("Er sagt „wir gehen“ und geht.", T.COMPLETE), ("Er sagt »wir gehen« und geht.", T.COMPLETE), ("Too bad :( but it works.", T.COMPLETE), ('The pipe is 5" wide.', T.COMPLETE), ("<p>One.<br>Two.", T.COMPLETE),
+        ('"One paragraph.\n\n"And the next."', T.COMPLETE), ("a) first b) second.", T.COMPLETE),
+        # escapes and what only looks like one
+        ("it rose by 50%", T.ASK_WORD), ("he works in R&D", T.ASK_WORD), ("she left AT&T", T.ASK_WORD), ("copy it to C:\\", T.ASK_WORD), ("copy it to C:\\loom\\", T.ASK_WORD), ("rock & roll", T.ASK_WORD),
+        ("this is caf&eac", T.CUT), ("salt &am", T.CUT), ("salt &#82", T.CUT), ("loom%2", T.CUT), ("caf%C3%", T.CUT), ("caf%C3%A", T.CUT), ("it is w\\", T.CUT), ("caf\\u00e", T.CUT),
     ],
 )
 def test_verdicts(text, want):
@@ -51,6 +60,18 @@ def test_baselines_decide(spark):
     assert T.truncated_fields(df.limit(0)).count() == 0
 
 
+def test_habits_of_a_source(spark):
+    """What one source always does is no cut there, and one elsewhere."""
+    bare = lambda i: f"The loom {i} holds. The barge was late"
+    open_ = lambda i: f'The loom {i} holds. She said "the barge was late.'
+    rows = [(i, "bare", bare(i), FULL, FULL) for i in range(600)] + [(1000 + i, "open", FULL, open_(i), FULL) for i in range(60)]
+    rows += [(2000 + i, "plain", FULL, f"{FULL} {i}.", FULL) for i in range(30)] + [(3000, "plain", bare(0), open_(0), "See (the loom."), (3001, None, bare(1), "Is it late now? Yes. It was late", open_(1))]
+    rows += [(3002, "bare", f"The loom holds. The {'z' * 260}", FULL, FULL)] + [(4000 + i, "plain", f"The {'z' * 300} holds.", FULL, FULL) for i in range(25)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, prompt string, chosen string, rejected string")
+    got = {(r.sample_id, r.field) for r in T.truncated_fields(df).collect()}
+    assert got == {(3000, f) for f in ("prompt", "chosen", "rejected")} | {(3001, f) for f in ("prompt", "chosen", "rejected")} | {(3002, "prompt")}
+
+
 def test_cuts_with_an_ellipsis_at_the_same_place(spark):
     """A fragment or part of a word that follows many texts is no closing phrase; at a source's limit even a phrase is cut."""
     own = lambda i: f"Number {i} was read in Morgo."
