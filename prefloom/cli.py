@@ -11,10 +11,11 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from prefloom.operators import generation, transforms, validation
-from prefloom.session import local_session
-from prefloom.sources import json_io, tasks
+from prefloom.operators import generation, model_reports, transforms, validation
+from prefloom.session import cut, local_session
+from prefloom.sources import json_io, registry, tasks
 
 
 def setup_logging(path: str | None = None) -> None:
@@ -30,6 +31,18 @@ def setup_logging(path: str | None = None) -> None:
         logging.warning("the log file %s exceeds 500 MB", path)
 
 
+def _between(low: float, high: float, kind: type = int):
+    """An argument clamped to a range."""
+    return lambda text: min(high, max(low, kind(text)))
+
+
+def _client(given, model: str | None, stand_in):
+    """The client passed in; without one only the model 'hash' is known."""
+    if given is None and model != "hash":
+        raise SystemExit(f"no client for model {model!r}: pass one to main(), or name the stand-in 'hash'")
+    return given or stand_in()
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="prefloom", description=__doc__.splitlines()[0])
     p.add_argument("--log-file")
@@ -38,9 +51,13 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("config")
     g.add_argument("output")
     g.add_argument("--vocabulary", help="Parquet table (alias, word_idx, word)")
-    g.add_argument("--model", default="hash")
-    g.add_argument("--temperature", type=float, default=0.99)
-    g.add_argument("--max-concurrency", type=int, default=128)
+    g.add_argument("--model", required=True, help="a model of the client passed in, or 'hash', which makes up replies from digests")
+    g.add_argument("--temperature", type=_between(0.0, 2.0, float), default=0.99)
+    g.add_argument("--max-concurrency", type=_between(1, 256), default=128)
+    g.add_argument("--max-tokens-prompt-response", type=_between(1, 32768), default=1024)
+    g.add_argument("--max-tokens-chosen-rejected-response", type=_between(1, 65536), default=2048)
+    g.add_argument("--cache", help="Parquet folder of model replies")
+    g.add_argument("--hub-repository", help="send the result to this repository of the store passed in")
     g.add_argument("--include-preference-axes", action="store_true")
     g.add_argument("--dry-run", action="store_true")
     g.add_argument("--random-seed", type=int, default=0)
@@ -49,6 +66,16 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("output")
     v.add_argument("--no-count", action="store_true")
     v.add_argument("--no-entropy", action="store_true")
+    v.add_argument("--llm-judge", action="store_true")
+    v.add_argument("--embedding-diversity", action="store_true")
+    v.add_argument("--model", help="judge: a model of the client passed in, or 'hash'")
+    v.add_argument("--embedding-model", help="a model of the embedder passed in, or 'hash'")
+    v.add_argument("--embedding-batch-size", type=int, default=256)
+    v.add_argument("--max-concurrency", type=_between(1, 256), default=128)
+    v.add_argument("--max-tokens-judge-response", type=_between(1, 1024), default=128)
+    v.add_argument("--cache", help="Parquet folder of judge replies")
+    v.add_argument("--dry-run", action="store_true", help="ask the models about one made-up sample only")
+    v.add_argument("--hub-repository", help="take the input from, and send the report to, this repository of the store passed in")
     t = sub.add_parser("transform", help="swap preferences or split")
     t.add_argument("kind", choices=("preference_swap", "split"))
     t.add_argument("input")
@@ -74,24 +101,67 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, client: generation.ModelClient | None = None) -> int:
+def validate(a: argparse.Namespace, spark: SparkSession, client: generation.ModelClient | None, embedder: model_reports.EmbeddingClient | None, store: registry.RemoteStore | None) -> int:
+    """Write the chosen reports as one JSON object of lists, one entry a dataset; an empty dataset has null from the models."""
+    samples, series = json_io.read_json(spark, registry.fetch(store, a.hub_repository, a.input))
+    samples = cut(samples, "samples")
+    if a.dry_run:
+        if a.llm_judge:
+            model_reports.judge_validation(samples, series, _client(client, a.model, generation.HashClient), dry_run=True)
+        if a.embedding_diversity:
+            model_reports.embedding_validation(samples, series, _client(embedder, a.embedding_model, model_reports.HashEmbedder), dry_run=True)
+        logging.info("dry run: a success")
+        return 0
+    reports = {}
+    if not a.no_count:
+        reports["count_validation"] = validation.count_validation(samples, series)
+    if not a.no_entropy:
+        reports["entropy_validation"] = validation.entropy_validation(samples, series)
+    if a.llm_judge:
+        cache = registry.CacheTable(spark, a.cache) if a.cache else None
+        keyed = samples.withColumn("sample_id", F.struct("dataset_idx", "sample_idx", "split"))
+        report, fresh = model_reports.judge_validation(keyed, series, _client(client, a.model, generation.HashClient), cache and cache.read(), a.max_tokens_judge_response, a.max_concurrency)
+        if cache:
+            cache.write(fresh)
+        reports["llm_judge_validation"] = report
+    if a.embedding_diversity:
+        reports["llm_embedding_diversity"] = model_reports.embedding_validation(samples, series, _client(embedder, a.embedding_model, model_reports.HashEmbedder), a.embedding_batch_size, a.max_concurrency)
+    if not reports:
+        logging.warning("no validation measure was chosen")
+        return 0
+    json_io.write_reports(reports, a.output)
+    registry.push(store, a.hub_repository, a.output)
+    return 0
+
+
+def main(
+    argv: list[str] | None = None, spark: SparkSession | None = None, client: generation.ModelClient | None = None,
+    embedder: model_reports.EmbeddingClient | None = None, store: registry.RemoteStore | None = None,
+) -> int:
     a = parser().parse_args(argv)
     setup_logging(a.log_file)
     spark = spark or local_session()
+    if a.command == "validate":
+        return validate(a, spark, client, embedder, store)
     if a.command == "generate":
+        model = _client(client, a.model, generation.HashClient)
         words = tasks.read_vocabulary(spark.read.parquet(a.vocabulary)) if a.vocabulary else {}
         wanted = tasks.read_config(spark, a.config, words)
-        samples, _ = generation.generate(
-            wanted, client or generation.HashClient(), seed=a.random_seed, temperature=a.temperature,
-            include_axes=a.include_preference_axes, dry_run=a.dry_run, max_concurrency=a.max_concurrency,
+        cache = registry.CacheTable(spark, a.cache) if a.cache else None
+        samples, fresh = generation.generate(
+            wanted, model, cache=cache and cache.read(), seed=a.random_seed, temperature=a.temperature, include_axes=a.include_preference_axes, dry_run=a.dry_run,
+            max_tokens=(a.max_tokens_prompt_response, a.max_tokens_chosen_rejected_response), max_concurrency=a.max_concurrency,
         )
         if a.dry_run:
             logging.info("dry run: %s", samples.count())
             return 0
         json_io.write_json(samples, wanted, a.output)
+        if cache:
+            cache.write(fresh)
         import yaml
 
         tasks.write_config(yaml.safe_load(Path(a.config).read_text(encoding="utf-8")), str(Path(a.output).with_suffix(".config.json")), a.model, a.max_concurrency)
+        registry.push(store, a.hub_repository, a.output)
         return 0
     if a.command == "merge":
         parts = [json_io.read_json(spark, i) for i in a.inputs]
@@ -110,14 +180,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
         json_io.write_json(merged, all_tasks, a.output)
         return 0
     samples, series = json_io.read_json(spark, a.input)
-    if a.command == "validate":
-        report = series.select("dataset_idx")
-        if not a.no_count:
-            report = report.join(validation.count_validation(samples, series), "dataset_idx")
-        if not a.no_entropy:
-            report = report.join(validation.entropy_validation(samples, series), "dataset_idx")
-        json_io.write_report(report, a.output)
-    elif a.command == "transform":
+    if a.command == "transform":
         out = transforms.split(samples, a.value) if a.kind == "split" else transforms.preference_swap(samples, a.value, a.random_seed)
         json_io.write_json(out, series, a.output)
     elif a.command == "sample":

@@ -6,6 +6,8 @@ give null; empty arrays give empty arrays or zero sums.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,28 +60,37 @@ def add_terminal_score(rewards: Column, length: Column, score: Column) -> Column
 
 
 def advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates: A_t = d_t + gamma lam A_{t+1}, d_t = r_t + gamma V_{t+1} - V_t, nothing after the end."""
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("gae"), F.lit(0.0).alias("next"))
+    """Generalised advantage estimates: A_t = d_t + gamma lam A_{t+1}, d_t = r_t + gamma V_{t+1} - V_t, nothing after the end.
 
-    def step(acc: Column, x: Column) -> Column:
-        r, v = x["r"], x["v"]
-        gae = r + F.lit(gamma) * acc["next"] - v + F.lit(gamma * lam) * acc["gae"]
-        return F.struct(F.concat(acc["out"], F.array(gae)).alias("out"), gae.alias("gae"), v.alias("next"))
+    A recurrence over the places of an array: folds of built-in functions copy their array at each step, so this is an Arrow
+    batch function whose time is linear in the places.  A place that only one of the arrays has is null.
+    """
 
-    zipped = F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v")))
-    return F.reverse(F.aggregate(F.reverse(zipped), start, step, lambda acc: acc["out"]))
+    def estimate(r: pd.Series, v: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(r, v, strict=True):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+            n = max(len(a), len(b))
+            a, b = (np.append(x, np.full(n - len(x), np.nan)) for x in (a, b))
+            delta = a + gamma * np.append(b[1:], 0.0) - b
+            gae = 0.0
+            result = []
+            for d in delta[::-1].tolist():
+                gae = d + gamma * lam * gae
+                result.append(gae)
+            out.append([None if x != x else x for x in result[::-1]])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(estimate, "array<double>")(rewards, values)
 
 
 def returns(adv: Column, values: Column) -> Column:
     return F.zip_with(adv, values, lambda a, v: a + v)
 
 
-def masked_mean(a: Column, mask: Column) -> Column:
-    """Mean of the places where the mask is true; null if there are none."""
-    n = F.size(F.filter(mask, lambda m: m))
-    return F.when(n > 0, _sum(F.zip_with(a, mask, lambda x, m: F.when(m, x).otherwise(F.lit(0.0)))) / n)
-
-
 def whiten(df: DataFrame, array: str, length: str, out: str, shift_mean: bool = True, extra: int = 0, batch: list[str] | None = None) -> DataFrame:
     """Scale the unmasked values of a whole batch to deviation one (and mean zero), masked places to zero.
 
@@ -151,6 +162,20 @@ def value_losses(pred: Column, old: Column, ret: Column, clip: float) -> Column:
     return F.zip_with(pred, pairs, one)
 
 
-def approx_kl(new: Column, old: Column) -> Column:
-    d = F.zip_with(new, old, lambda a, b: (a - b) * (a - b) * F.lit(0.5))
-    return array_mean(d)
+def update_metrics(df: DataFrame, new: str, old: str, adv: str, pred: str, before: str, ret: str, clip: float, clip_value: float) -> DataFrame:
+    """One row for a batch of updates, over all places: mean policy and value loss, approximate KL, share of clipped
+    policy places and of value places whose clipped prediction is the worse one, and mean and variance of the probability ratio.
+
+    The policy arrays (``new``, ``old``, ``adv``) have the same places, as have the value arrays (``pred``, ``before``, ``ret``).
+    An empty batch has nulls.
+    """
+    policy = policy_losses(F.col(new), F.col(old), F.col(adv), clip)
+    gap = F.zip_with(F.col(new), F.col(old), lambda a, b: F.lit(0.5) * (a - b) * (a - b))
+    plain = F.zip_with(F.col(pred), F.col(ret), lambda p, r: F.lit(0.5) * (p - r) * (p - r))
+    worse = value_losses(F.col(pred), F.col(before), F.col(ret), clip_value)
+    both = F.arrays_zip(policy.alias("p"), gap.alias("k"), worse.alias("v"), plain.alias("q"))
+    x = df.select(F.explode(both).alias("x")).select("x.p.*", F.col("x.k").alias("k"), F.col("x.v").alias("v"), F.col("x.q").alias("q"))
+    return x.agg(
+        F.avg("loss").alias("policy_loss"), F.avg("v").alias("value_loss"), F.avg("k").alias("approx_kl"), F.avg(F.col("clipped").cast("double")).alias("policy_clipped"),
+        F.avg((F.col("v") > F.col("q")).cast("double")).alias("value_clipped"), F.avg("ratio").alias("ratio_mean"), F.var_samp("ratio").alias("ratio_var"),
+    )

@@ -37,8 +37,7 @@ def word_count(text: Column | str) -> Column:
 
 def kept_tokens(text: Column | str) -> Column:
     """Tokens that are no stop words, whatever their case."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(tokens(text), lambda x: ~F.array_contains(stop, F.lower(x)))
+    return F.filter(tokens(text), lambda x: ~F.lower(x).isin(*STOP_WORDS))
 
 
 def without_stop_words(text: Column | str) -> Column:

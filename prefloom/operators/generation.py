@@ -6,11 +6,12 @@ import json
 import os
 import random
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.functions.rng import draw_int, hash_uniform
@@ -175,7 +176,7 @@ def meta_prompts(tasks: DataFrame, requests: DataFrame, size: int = 2, seed: int
 
 
 class ModelClient(Protocol):
-    """What a model call needs; an instance is pickled to the workers."""
+    """What a model call needs; an instance is pickled to the workers and called from several threads of each."""
 
     def complete(self, request: str, schema: str, temperature: float, max_tokens: int) -> str:
         """The model's raw reply."""
@@ -228,22 +229,35 @@ def tries(default: int = 3) -> int:
     return int(os.environ.get("BACKOFF_RETRIES", default))
 
 
-def _call(client: ModelClient, request: str, schema: str, temperature: float, max_tokens: int, most: int) -> str:
+def retried(call: Callable, most: int):
+    """The result of ``call``, tried again after ``RateLimited`` with growing pauses, ``most`` times at most."""
     for attempt in range(most):
         try:
-            return client.complete(request, schema, temperature, max_tokens)
+            return call()
         except RateLimited:
             if attempt + 1 == most:
                 raise
             time.sleep(random.random() * 2**attempt * float(os.environ.get("BACKOFF_UNIT", "1")))
-    raise AssertionError
+    raise ValueError("a request is sent at least once")
 
 
-def _run(batches: Iterator[pa.RecordBatch], client: ModelClient, schema: str, temperature: float, max_tokens: int, most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        requests = batch.column(1).to_pylist()
-        replies = [_call(client, r, schema, temperature, max_tokens, most) for r in requests]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(replies, pa.string())], ["key", "query", "result"])
+def _call(client: ModelClient, request: str, schema: str, temperature: float, max_tokens: int, most: int) -> str:
+    return retried(lambda: client.complete(request, schema, temperature, max_tokens), most)
+
+
+def _run(batches: Iterator[pa.RecordBatch], client: ModelClient, schema: str, temperature: float, max_tokens: int, most: int, threads: int) -> Iterator[pa.RecordBatch]:
+    with ThreadPoolExecutor(threads) as pool:
+        for batch in batches:
+            replies = list(pool.map(lambda r: _call(client, r, schema, temperature, max_tokens, most), batch.column(1).to_pylist()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(replies, pa.string())], ["key", "query", "result"])
+
+
+def in_flight(spark: SparkSession, max_concurrency: int) -> tuple[int, int]:
+    """(partitions, threads in each) whose product is at most ``max_concurrency``, with no more partitions than cores."""
+    if not 1 <= max_concurrency <= 256:
+        raise ValueError("between 1 and 256 concurrent calls")
+    parts = min(max_concurrency, spark.sparkContext.defaultParallelism)
+    return parts, max_concurrency // parts
 
 
 def call_model(
@@ -253,19 +267,18 @@ def call_model(
     """Replies to ``requests`` (request, nonce, and any keys), and the new cache rows.
 
     Equal requests are sent once.  Cached ones aren't sent at all unless ``refresh``; misses are written out before use, so a
-    repeated task never sends them again.  At most ``max_concurrency`` partitions call at a time.  Invalid replies are returned
-    too (``parsed`` tells) but not cached.  Raises what the client raises after its last try.
+    repeated task never sends them again.  At most ``max_concurrency`` requests are on their way at a time in the whole cluster, several
+    from each partition.  Invalid replies are returned too but not cached.  Raises what the client raises after its last try.
     """
-    if not 1 <= max_concurrency <= 256:
-        raise ValueError("between 1 and 256 concurrent calls")
+    parts, threads = in_flight(requests.sparkSession, max_concurrency)
     keyed = requests.withColumn("key", cache_key("request", "nonce"))
     asked = keyed.groupBy("key").agg(F.first("request").alias("query"), F.first("nonce").alias("nonce"))
     known = None if cache is None or refresh else cache.select("key", "result")
     misses = asked if known is None else asked.join(known, "key", "left_anti")
     limit = most or tries()
     called = arrow_map(
-        misses.select("key", "query").repartition(max_concurrency, "key"),
-        lambda it: _run(it, client, schema, temperature, max_tokens, limit), "key string, query string, result string",
+        misses.select("key", "query").repartition(parts, "key"),
+        lambda it: _run(it, client, schema, temperature, max_tokens, limit, threads), "key string, query string, result string",
     )
     called = cut(called, "replies")
     fresh = called.join(asked.select("key", "nonce"), "key").select("key", "query", "result", "nonce")
@@ -367,8 +380,3 @@ class HashClient:
         if schema == "score":
             return json.dumps({"score": int(h[:4], 16) % 2})
         return json.dumps({name: f"{name} {h[:12]}" for name in REPLIES[schema]})
-
-
-def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each small group (keys are unique up to a few repeats, as in a cache table)."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

@@ -29,6 +29,11 @@ def metric_rollup(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.explode(keys).alias("k"), "value").groupBy("k.split", "k.key").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
+def append_metrics(metrics: DataFrame, path: str, run: str) -> None:
+    """Append a run's metrics (key, value and any others) to a Parquet table partitioned by run; nothing is read or rewritten."""
+    metrics.withColumns({"run": F.lit(run), "logged": F.current_timestamp()}).write.partitionBy("run").mode("append").parquet(path)
+
+
 def prefixed(metrics: DataFrame) -> DataFrame:
     """Keys with their dataset before them: dataset-<i>/<key>."""
     return metrics.withColumn("key", metric_key("dataset_idx", "key"))

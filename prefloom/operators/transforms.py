@@ -21,7 +21,7 @@ class DatasetTransform:
     """A named transform; call it or use ``df.transform(t)``."""
 
     def apply(self, df: DataFrame) -> DataFrame:
-        raise NotImplementedError
+        raise NotImplementedError(f"{type(self).__name__} has no apply")
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.apply(df)
@@ -149,15 +149,28 @@ def with_global_index(df: DataFrame) -> DataFrame:
 
 
 def take_slice(df: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
-    """Rows [start, stop) of the whole series; negative bounds count from the end, as in a Python slice."""
-    n = df.count()
-    low, high, _ = slice(start, stop).indices(n)
-    return with_global_index(df).where((F.col("global_idx") >= low) & (F.col("global_idx") < high))
+    """Rows [start, stop) of the whole series; negative bounds count from the end, as in a Python slice.
+
+    The datasets' sizes (one number each) tell which of them the slice touches; only those are ranked.
+    """
+    sizes = df.where("dataset_idx is not null").groupBy("dataset_idx").count().orderBy("dataset_idx").collect()
+    low, high, _ = slice(start, stop).indices(sum(r[1] for r in sizes))
+    before, offsets = 0, {}
+    for index, n in sizes:
+        if before < high and before + n > low:
+            offsets[index] = before
+        before += n
+    # one row for each dataset touched
+    table = df.sparkSession.createDataFrame(list(offsets.items()), "_pf_d int, _pf_start long")
+    touched = df.join(F.broadcast(table), F.col("dataset_idx") == F.col("_pf_d")).drop("_pf_d")
+    ranked = rank_within(touched, ["dataset_idx"], "sample_idx", ["sample_idx"], "_pf_rank")
+    ranked = ranked.withColumn("global_idx", F.col("_pf_start") + F.col("_pf_rank") - 1).drop("_pf_start", "_pf_rank")
+    return ranked.where((F.col("global_idx") >= low) & (F.col("global_idx") < high))
 
 
 def take_at(df: DataFrame, index: int) -> DataFrame:
     """The one row at an index, negative from the end; IndexError outside."""
-    n = df.count()
+    n = df.where("dataset_idx is not null").count()
     if not -n <= index < n:
         raise IndexError(index)
     return take_slice(df, index % n, index % n + 1)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.text import digest, kept_tokens, render_sample, tokens, without_stop_words, word_count
 from prefloom.operators.ordered import exact_median
 from prefloom.schema import TEXT_FIELDS
+from prefloom.session import arrow_map, cut
 
 
 def _for_all(report: DataFrame, tasks: DataFrame | None) -> DataFrame:
@@ -18,7 +26,8 @@ def _for_all(report: DataFrame, tasks: DataFrame | None) -> DataFrame:
 def count_validation(samples: DataFrame, tasks: DataFrame | None = None, remove_stop_words: bool = False, key: str | None = None) -> DataFrame:
     """Samples, distinct samples, prompts, chosen and rejected texts, and mean words of each dataset.
 
-    Distinct samples are distinct renderings.  Removing stop words changes the distinct counts only.  Null texts count as
+    Distinct samples are distinct renderings; stop words are removed from a rendering as a whole, so the last word of a prompt, with
+    the comma that follows it there, is none.  Removing them changes the distinct counts only.  Null texts count as
     empty.  With ``tasks`` datasets without samples have zeros.  ``key`` names a column by which repeated deliveries count once.
 
     Texts become digests and word counts where they are read, so no text is shuffled; distinct digests are found by one
@@ -29,7 +38,7 @@ def count_validation(samples: DataFrame, tasks: DataFrame | None = None, remove_
         "dataset_idx",
         *([key] if key else []),
         *(digest(clean(c)).alias(f"d_{c}") for c in TEXT_FIELDS),
-        digest(render_sample(*(clean(c) for c in TEXT_FIELDS))).alias("d_sample"),
+        digest(without_stop_words(render_sample()) if remove_stop_words else render_sample()).alias("d_sample"),
         *(word_count(c).alias(f"w_{c}") for c in TEXT_FIELDS),
     )
     if key:
@@ -83,29 +92,79 @@ def shortfall(requested: DataFrame, samples: DataFrame) -> DataFrame:
     return out.withColumn("missing", F.col("requested") - F.col("produced"))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A batch of vectors as unit rows; a shorter vector counts as filled with zeros, a null entry as zero."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    width = int(size.max()) if len(size) else 0
+    if len(flat) == len(size) * width:
+        m = flat.reshape(len(size), width)
+    else:
+        m = np.zeros((len(size), width))
+        m[np.arange(width) < size[:, None]] = flat
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(groups..., vector) to one (groups..., n, sum of unit vectors) row for each group of a batch."""
+    for batch in batches:
+        keys = pa.Table.from_batches([batch]).drop_columns(["_pf_v"]).append_column("_pf_i", pa.array(np.arange(batch.num_rows)))
+        names = [c for c in keys.column_names if c != "_pf_i"]
+        groups = keys.group_by(names).aggregate([("_pf_i", "list")])
+        m = _matrix(batch.column(batch.num_columns - 1))
+        lists = groups["_pf_i_list"].to_pylist()
+        out = [m[i].sum(axis=0) for i in lists]
+        yield pa.record_batch([*(groups[n].combine_chunks() for n in names), pa.array([len(i) for i in lists], pa.int64()), pa.array(out, pa.list_(pa.float64()))], [*names, "_pf_n", "_pf_sum"])
+
+
+def _dots(batches: Iterator[pa.RecordBatch], at: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Add the dot product of the unit vector (column ``at``) with its group's sum (column ``total``), which is dropped."""
+    for batch in batches:
+        a, b = _matrix(batch.column(at)), batch.column(total)
+        size = b.value_lengths().to_numpy(zero_copy_only=False)
+        flat = b.flatten().to_numpy(zero_copy_only=False)
+        width = a.shape[1]
+        first = np.cumsum(size) - size
+        # a group's sum is as long as its longest vector
+        grid = np.minimum(first[:, None] + np.arange(width), max(0, len(flat) - 1))
+        inside = np.arange(width) < size[:, None]
+        dot = (a * np.where(inside, flat[grid] if len(flat) else 0.0, 0.0)).sum(axis=1)
+        keep = [i for i in range(batch.num_columns) if i != total]
+        yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(dot)], [*(batch.schema.names[i] for i in keep), "_pf_dot"])
+
+
 def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "diversity") -> DataFrame:
     """Add to each row 1 less its mean cosine similarity to all rows of its group, itself included.
 
-    The unit vectors are summed by dimension, so the cost is rows times dimensions and no pair is formed.  A zero
-    vector has similarity 0 to all.  Null vectors are left out.
+    The unit vectors are summed by group, batch by batch, so the cost is rows times dimensions and no pair is formed.  A zero
+    vector has similarity 0 to all.  Null vectors are left out; rows with null groups are groups like others.
     """
     rows = rows.where(F.col(vector).isNotNull())
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-10))
-    units = rows.withColumn("_pf_unit", F.transform(v, lambda x: x / norm))
-    sums = units.select(*groups, F.posexplode("_pf_unit").alias("_pf_d", "_pf_x")).groupBy(*groups, "_pf_d").agg(F.sum("_pf_x").alias("_pf_s"))
+    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
+    part = arrow_map(rows.select(*groups, F.col(vector).alias("_pf_v")), _sums, f"{kinds}, _pf_n long, _pf_sum array<double>")
+    each = part.select(*groups, "_pf_n", F.posexplode("_pf_sum").alias("_pf_d", "_pf_x")).groupBy(*groups, "_pf_d").agg(F.sum("_pf_x").alias("_pf_s"))
     # one short array a group
-    total = sums.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pf_d", "_pf_s"))), lambda e: e["_pf_s"]).alias("_pf_sum"))
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_pf_n"))
-    dot = F.aggregate(F.zip_with("_pf_unit", "_pf_sum", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return units.join(total, groups).join(sizes, groups).withColumn(value, F.lit(1.0) - dot / F.col("_pf_n")).drop("_pf_unit", "_pf_sum", "_pf_n")
+    total = each.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pf_d", "_pf_s"))), lambda e: e["_pf_s"]).alias("_pf_sum"))
+    sizes = part.groupBy(*groups).agg(F.sum("_pf_n").alias("_pf_n"))
+    named = lambda df: df.select(*(F.col(g).alias(f"_pf_g{i}") for i, g in enumerate(groups)), *(c for c in df.columns if c not in groups))
+    match = lambda left: reduce(and_, (left[g].eqNullSafe(F.col(f"_pf_g{i}")) for i, g in enumerate(groups)))
+    keys = [f"_pf_g{i}" for i in range(len(groups))]
+    joined = sizes.join(named(total), match(sizes), "left").drop(*keys)
+    joined = rows.join(named(joined), match(rows)).drop(*keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_pf_sum") + ", _pf_dot double"
+    at, where = joined.columns.index(vector), joined.columns.index("_pf_sum")
+    joined = joined.withColumn("_pf_sum", F.coalesce("_pf_sum", F.array().cast("array<double>")))
+    out = arrow_map(joined, lambda it: _dots(it, at, where), schema)
+    return out.withColumn(value, F.lit(1.0) - F.col("_pf_dot") / F.col("_pf_n")).drop("_pf_dot", "_pf_n")
 
 
 def diversity_report(rows: DataFrame, vector: str, groups: list[str]) -> DataFrame:
     """Mean, exact median, least and greatest diversity of each group."""
-    each = diversity(rows, vector, groups).select(*groups, "diversity")
+    each = cut(diversity(rows, vector, groups).select(*groups, "diversity"), "diversity")  # a number a row, read several times
     plain = each.groupBy(*groups).agg(F.avg("diversity").alias("mean"), F.min("diversity").alias("min"), F.max("diversity").alias("max"))
-    return plain.join(exact_median(each, groups, "diversity"), groups).select(*groups, "mean", "median", "min", "max")
+    median = exact_median(each, groups, "diversity").select(*(F.col(g).alias(f"_pf_g{i}") for i, g in enumerate(groups)), "median")
+    match = reduce(and_, (plain[g].eqNullSafe(F.col(f"_pf_g{i}")) for i, g in enumerate(groups)))
+    return plain.join(median, match).select(*groups, "mean", "median", "min", "max")
 
 
 def clamped(score: Column | str) -> Column:

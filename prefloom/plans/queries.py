@@ -12,10 +12,12 @@ from prefloom.functions import chat, preference, rollout, text
 from prefloom.functions.rng import hash_uniform, uniform_sql
 from prefloom.operators import generation as G
 from prefloom.operators import metrics as M
+from prefloom.operators import model_reports as R
 from prefloom.operators import transforms as X
 from prefloom.operators import validation as V
 from prefloom.plans.views import ROLLOUT_SQL, SAMPLES_SQL, SCORES_SQL, rollouts, samples
-from prefloom.session import cut, shared_folder, table
+from prefloom.session import cut, delete, shared_folder, table
+from prefloom.sources import corpora as C
 from prefloom.sources import json_io
 from prefloom.sources.tasks import resolved_components
 
@@ -40,6 +42,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _keys(df: DataFrame) -> DataFrame:
     return df.select("dataset_idx", "sample_idx", "split")
 
@@ -49,7 +55,7 @@ def _keys(df: DataFrame) -> DataFrame:
 
 def _count_sql(clean: Callable[[str], str]) -> str:
     c = {f: clean(f) for f in ("prompt", "chosen", "rejected")}
-    render = f"'Prompt: '||{c['prompt']}||', Chosen: '||{c['chosen']}||', Rejected: '||{c['rejected']}"
+    render = clean("('Prompt: '||prompt||', Chosen: '||chosen||', Rejected: '||rejected)")
     return _WITH + (
         f", t AS (SELECT dataset_idx, {c['prompt']} AS p, {c['chosen']} AS c, {c['rejected']} AS r, {render} AS x, {_LEN('prompt')} AS lp, {_LEN('chosen')} AS lc, {_LEN('rejected')} AS lr FROM s)"
         " SELECT k.dataset_idx, count(x) AS sample, count(DISTINCT x) AS unique_samples, count(DISTINCT p) AS unique_prompts, count(DISTINCT c) AS unique_chosen,"
@@ -180,6 +186,36 @@ def render_samples(spark, d):
     return samples(spark, d, "sample_id", "prompt", "chosen", "rejected").select("sample_id", F.sha2(text.render_sample(), 256).alias("sample_digest"))
 
 
+_COHERENCE = {f: f"{_q(G.COHERENCE_TEXT[0])}||{f}||{_q(G.COHERENCE_TEXT[1])}" for f in ("chosen", "rejected")}
+_ASKED = ", ".join(f"('0x'||substr(sha256({r}),1,4))::int % 2 AS {m}" for m, r in zip(V.METRICS, (f"{_q(G.JUDGE_TEXT[0])}||coalesce(preference,'')||{_q(G.JUDGE_TEXT[1])}||prompt||{_q(G.JUDGE_TEXT[2])}||chosen||{_q(G.JUDGE_TEXT[3])}||rejected||{_q(G.JUDGE_TEXT[4])}", *_COHERENCE.values()), strict=True))
+_STATISTICS = ", ".join(f"round({f.format(m)},9) AS {m}_{n}" for m in V.METRICS for n, f in (("mean", "avg({})"), ("median", "quantile_cont({},0.5)"), ("min", "min({})::double"), ("max", "max({})::double")))
+
+
+@query(_WITH + f", j AS (SELECT dataset_idx, {_ASKED} FROM s JOIN tasks USING (dataset_idx)) SELECT k.dataset_idx, {_STATISTICS} FROM tasks k LEFT JOIN j USING (dataset_idx) GROUP BY k.dataset_idx")
+def judge_validation(spark, d):
+    """Every sample judged by a (stand-in) model, statistics of each dataset."""
+    report, _ = R.judge_validation(samples(spark, d, "sample_id", "dataset_idx", "prompt", "chosen", "rejected"), table(spark, d, "tasks"), G.HashClient(), max_concurrency=16)
+    return _rounded(report.select("dataset_idx", *(F.col(c).cast("double").alias(c) for c in report.columns if c != "dataset_idx")))
+
+
+_VECTOR = "[" + ",".join(f"('0x'||substr(md5(text),{4 * k + 1},4))::int/65535.0::double-0.5" for k in range(8)) + "]"
+_WIDE = ", ".join(f"round(max(CASE WHEN text_type='{f}' THEN {n} END),6) AS {f}_{n}" for f in ("prompt", "chosen", "rejected") for n in R.STATS)
+
+
+@query(
+    _WITH + f", x AS (SELECT row_number() OVER () AS i, dataset_idx, text_type, {_VECTOR} AS e FROM (SELECT dataset_idx, unnest(['prompt','chosen','rejected']) AS text_type, unnest([prompt,chosen,rejected]) AS text FROM s)),"
+    " y AS (SELECT i, dataset_idx, text_type, unnest(e) AS x, generate_subscripts(e,1) AS k FROM x), n AS (SELECT i, greatest(sqrt(sum(x*x)),1e-10) AS n FROM y GROUP BY 1), u AS (SELECT y.*, x/n AS u FROM y JOIN n USING (i)),"
+    " t AS (SELECT dataset_idx, text_type, k, sum(u) AS t FROM u GROUP BY ALL), c AS (SELECT dataset_idx, text_type, count(*) AS c FROM x GROUP BY ALL),"
+    " v AS (SELECT i, dataset_idx, text_type, 1-sum(u*t)/any_value(c) AS d FROM u JOIN t USING (dataset_idx,text_type,k) JOIN c USING (dataset_idx,text_type) GROUP BY ALL),"
+    " z AS (SELECT dataset_idx, text_type, avg(d) AS mean, quantile_cont(d,0.5) AS median, min(d) AS min, max(d) AS max FROM v GROUP BY ALL)"
+    f" SELECT k.dataset_idx, {_WIDE} FROM tasks k LEFT JOIN z USING (dataset_idx) GROUP BY k.dataset_idx"
+)
+def embedding_validation(spark, d):
+    """Every text embedded by a (stand-in) model, diversity of each dataset and column."""
+    report = R.embedding_validation(samples(spark, d, "sample_id", "dataset_idx", "prompt", "chosen", "rejected"), table(spark, d, "tasks"), R.HashEmbedder(), max_concurrency=16)
+    return _rounded(report, 6)
+
+
 # --- transforms ------------------------------------------------------------------------------------------------------
 
 _RANK = "row_number() OVER (PARTITION BY dataset_idx ORDER BY sample_idx)"
@@ -238,11 +274,11 @@ def stratified_sample_amount(spark, d):
     return X.stratified_sample(samples(spark, d, "dataset_idx", "sample_idx", "split"), 0.25, 0.5, 10, seed=3).select("dataset_idx", "sample_idx", "split", "sample_order")
 
 
-@query(_WITH + ", m AS (SELECT max(dataset_idx)+1 AS k FROM s) SELECT dataset_idx, sample_idx, split FROM s UNION ALL SELECT (dataset_idx+k)::int, sample_idx, split FROM s, m WHERE dataset_idx < 5")
+@query(_WITH + ", m AS (SELECT max(dataset_idx)+1 AS k FROM s) SELECT dataset_idx, sample_idx, split FROM s UNION ALL SELECT (dataset_idx+k)::int, sample_idx, split FROM s, m")
 def merge_series(spark, d):
     """A series followed by another, indexes shifted."""
     s = _keys(samples(spark, d, "dataset_idx", "sample_idx", "split"))
-    return X.merge(s, s.where("dataset_idx < 5"))
+    return X.merge(s, s)
 
 
 _GLOBAL = _WITH + ", g AS (SELECT dataset_idx, sample_idx, row_number() OVER (ORDER BY dataset_idx, sample_idx) - 1 AS global_idx, count(*) OVER () AS n FROM s) SELECT dataset_idx, sample_idx, global_idx FROM g WHERE "
@@ -311,7 +347,24 @@ def preview_page(spark, d):
     return X.preview(samples(spark, d, "dataset_idx", "sample_idx", "split"), 7, "train", 3, True, 2).select("dataset_idx", "sample_idx")
 
 
-@query()
+def _replay_sql(steps: int = 40, capacity: int = 60) -> str:
+    """The fold, one step after another: a table of each step's buffer."""
+    u = lambda e, d, x: f"('0x'||substr(md5({e}||':'||{d}::varchar||':'||{x}::varchar),1,13))::bigint::double"
+    parts = [
+        f"w AS MATERIALIZED (SELECT dataset_idx, sample_idx FROM s WHERE split='train')",
+        "t AS MATERIALIZED (SELECT dataset_idx, row_number() OVER (ORDER BY dataset_idx) AS step FROM (SELECT DISTINCT dataset_idx FROM w))",
+        f"k AS (SELECT dataset_idx, sample_idx, row_number() OVER (PARTITION BY dataset_idx ORDER BY {u(_q('4-add'), 'dataset_idx', 'sample_idx')}, sample_idx) AS k, count(*) OVER (PARTITION BY dataset_idx) AS n FROM w)",
+        "a AS MATERIALIZED (SELECT dataset_idx, sample_idx, step FROM k JOIN t USING (dataset_idx) WHERE k <= least(n, greatest(1, trunc(0.1::double*n))))",
+    ]
+    for i in range(1, steps + 1):
+        before = f"SELECT dataset_idx, sample_idx FROM b{i - 1} UNION ALL " if i > 1 else ""
+        order = u(f"(SELECT '4-keep-'||dataset_idx::varchar FROM t WHERE step={i})", "z.dataset_idx", "z.sample_idx")
+        parts.append(f"b{i} AS MATERIALIZED (SELECT dataset_idx, sample_idx FROM ({before}SELECT dataset_idx, sample_idx FROM a WHERE step={i}) z ORDER BY {order}, dataset_idx, sample_idx LIMIT {capacity})")
+    every = " UNION ALL ".join(f"SELECT b.dataset_idx, b.sample_idx, t.dataset_idx AS after FROM b{i} b, t WHERE step={i}" for i in range(1, steps + 1))
+    return _WITH + ", " + ", ".join(parts) + " " + every
+
+
+@query(_replay_sql())
 def replay_buffer(spark, d):
     """M5: the memory after each dataset (a tenth of each joins, at most 60 stay)."""
     s = samples(spark, d, "dataset_idx", "sample_idx", "split").where("split = 'train'")
@@ -360,16 +413,46 @@ def seed_word_odds(spark, d):
     return _rounded(G.seed_word_odds(table(spark, d, "tasks")))
 
 
-_DRAW = (
-    "WITH c AS (SELECT dataset_idx, unnest(map_keys(domain)) AS name, unnest(map_values(domain)) AS v FROM tasks),"
-    " t AS (SELECT dataset_idx, sum(coalesce(v.weight,1)) AS total FROM c GROUP BY 1),"
-    " cc AS (SELECT c.dataset_idx, row_number() OVER (PARTITION BY c.dataset_idx ORDER BY name)-1 AS c, coalesce(v.weight,1.0::double)/total/len(v.seed_words) AS odds, v.seed_words AS words FROM c JOIN t USING (dataset_idx)),"
-    " o AS (SELECT dataset_idx, (c*100000 + unnest(generate_series(0,len(words)-1)))::int AS place, unnest(words) AS word, odds FROM cc),"
-    " q AS (SELECT dataset_idx, unnest(generate_series(0,4))::int AS prompt_idx FROM tasks),"
-    f" k AS (SELECT *, -ln(greatest({uniform_sql(11, 'dataset_idx', 'prompt_idx', 'place')},1e-300))/odds AS key FROM q JOIN o USING (dataset_idx) WHERE odds > 0),"
-    " p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY dataset_idx, prompt_idx ORDER BY key, place) <= 2),"
-    " words AS (SELECT dataset_idx, prompt_idx, list_sort(list_distinct(list(word))) AS seed_words FROM p GROUP BY ALL)"
-)
+def _draw_sql(n: int, seed: int) -> str:
+    """Two seed words for each of ``n`` prompts of every task, as table ``words``."""
+    return (
+        "WITH c AS (SELECT dataset_idx, unnest(map_keys(domain)) AS name, unnest(map_values(domain)) AS v FROM tasks),"
+        " t AS (SELECT dataset_idx, sum(coalesce(v.weight,1)) AS total FROM c GROUP BY 1),"
+        " cc AS (SELECT c.dataset_idx, row_number() OVER (PARTITION BY c.dataset_idx ORDER BY name)-1 AS c, coalesce(v.weight,1.0::double)/total/len(v.seed_words) AS odds, v.seed_words AS words FROM c JOIN t USING (dataset_idx)),"
+        " o AS (SELECT dataset_idx, (c*100000 + unnest(generate_series(0,len(words)-1)))::int AS place, unnest(words) AS word, odds FROM cc),"
+        f" q AS (SELECT dataset_idx, unnest(generate_series(0,{n - 1}))::int AS prompt_idx FROM tasks),"
+        f" k AS (SELECT *, -ln(greatest({uniform_sql(seed, 'dataset_idx', 'prompt_idx', 'place')},1e-300))/odds AS key FROM q JOIN o USING (dataset_idx) WHERE odds > 0),"
+        " p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY dataset_idx, prompt_idx ORDER BY key, place) <= 2),"
+        " words AS (SELECT dataset_idx, prompt_idx, list_sort(list_distinct(list(word))) AS seed_words FROM p GROUP BY ALL)"
+    )
+
+
+_DRAW = _draw_sql(5, 11)
+_META = f"{_q(G.PROMPT_TEXT[0] + G.PROMPT_TEXT[1])}||coalesce(objective,'')||{_q(G.PROMPT_TEXT[2])}||array_to_string(seed_words, ',')||{_q(G.PROMPT_TEXT[3])}"
+_PAIR = f"{_q(G.RESPONSE_TEXT[0])}||prompt||{_q(G.RESPONSE_TEXT[1])}||coalesce(preference,'')||{_q(G.RESPONSE_TEXT[2])}"
+_JUDGED = f"{_q(G.JUDGE_TEXT[0])}||coalesce(preference,'')||{_q(G.JUDGE_TEXT[1])}||prompt||{_q(G.JUDGE_TEXT[2])}||chosen||{_q(G.JUDGE_TEXT[3])}||rejected||{_q(G.JUDGE_TEXT[4])}"
+#: What the hash stand-in replies.
+_reply = lambda name, request: f"'{name} '||substr(sha256({request}),1,12)"
+_verdict = lambda request: f"('0x'||substr(sha256({request}),1,4))::int % 2"
+
+
+def _axes_drawn(parity: int, seed: int, *keys: str) -> str:
+    """The axes of one response in their drawn order, as a list."""
+    each = ",".join(f"{{'u':{uniform_sql(f'{seed}-axis-{parity}-{i}', *keys)},'low':{_q(low)},'high':{_q(high)}}}" for i, (low, high) in enumerate(G.AXES))
+    return f"list_sort([{each}])"
+
+
+def _axes_sql(axes: str, parity: int, seed: int, *keys: str) -> str:
+    """The request of one response, from prompt, preference and the list ``axes``."""
+    pad = G.AXES_PAD
+    word = "must follow" if parity == 0 else "must not respect"
+    wish = f"CASE WHEN {uniform_sql(f'{seed}-include-{parity}', *keys)} < {G.INCLUDE_PREFERENCE}::double THEN {_q(f'Your response {word} this preference overall: PREFERENCE: ')}||coalesce(preference,'')||chr(10) ELSE '' END"
+    lines = "||".join(
+        f"'On a scale of 1 to 2 where 1 is '||{axes}[{i + 1}].low||' and 2 is '||{axes}[{i + 1}].high||', your response should be: '||(floor({uniform_sql(f'{seed}-score-{i}', *keys)}*5)+1)::int::varchar||chr(10)"
+        for i in range(G.AXES_DRAWN)
+    )
+    end = "Please ensure your responses aligns with the provided scores.'\n" + pad + 'You don\'t need to start your response by saying "here is the response" nor to give any meta-explanation. Just provide the response.\n'
+    return f"{_q(pad + 'Generate a response to the following prompt: ' + chr(39))}||prompt||{_q(chr(39) + '.' + chr(10) + pad)}||{wish}||{_q(' and' + chr(10) + pad)}||{lines}||{_q(end)}"
 
 
 @query(_DRAW + " SELECT dataset_idx, prompt_idx, array_to_string(seed_words, ',') AS seed_words FROM words")
@@ -378,10 +461,6 @@ def seed_word_draws(spark, d):
     return G.draw_seed_words(table(spark, d, "tasks"), _requests(spark, d), 2, 11).select("dataset_idx", "prompt_idx", F.array_join("seed_words", ",").alias("seed_words"))
 
 
-def _q(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 @query(
     _DRAW + f" SELECT dataset_idx, prompt_idx, {_q(G.PROMPT_TEXT[0] + G.PROMPT_TEXT[1])}||objective||{_q(G.PROMPT_TEXT[2])}||array_to_string(seed_words, ',')||{_q(G.PROMPT_TEXT[3])} AS request FROM words JOIN tasks USING (dataset_idx)"
 )
@@ -397,7 +476,10 @@ def response_prompts(spark, d):
     return joined.select("sample_id", F.sha2(G.response_request(F.col("prompt"), F.col("preference")), 256).alias("request_digest"))
 
 
-@query()
+@query(
+    _WITH + f", x AS (SELECT sample_id, dataset_idx, sample_idx, prompt, preference, {_axes_drawn(0, 9, 'dataset_idx', 'sample_idx')} AS a0, {_axes_drawn(1, 9, 'dataset_idx', 'sample_idx')} AS a1 FROM s JOIN tasks USING (dataset_idx))"
+    f" SELECT sample_id, {_axes_sql('a0', 0, 9, 'dataset_idx', 'sample_idx')} AS request_0, {_axes_sql('a1', 1, 9, 'dataset_idx', 'sample_idx')} AS request_1 FROM x"
+)
 def axes_prompts(spark, d):
     """The two requests of contrasting responses (drawn axes and scores)."""
     t = table(spark, d, "tasks").select("dataset_idx", "preference")
@@ -453,14 +535,25 @@ def cache_upsert(spark, d):
     return G.cache_upsert(old, new)
 
 
-@query()
+_SERIES = f", g AS (SELECT dataset_idx, prompt_idx, {_reply('prompt', _META)} AS prompt, preference FROM words JOIN tasks USING (dataset_idx))"
+_SAMPLE = "SELECT dataset_idx, prompt_idx::bigint AS sample_idx, 'train' AS split, prompt"
+
+
+@query(_draw_sql(3, 1) + _SERIES + f" {_SAMPLE}, {_reply('chosen', _PAIR)} AS chosen, {_reply('rejected', _PAIR)} AS rejected FROM g")
 def generated_series(spark, d):
     """A series generated with a deterministic client, three samples for each task."""
     tasks = table(spark, d, "tasks").withColumn("num_samples", F.lit(3))
     return G.generate(tasks, G.HashClient(), seed=1, max_concurrency=8)[0]
 
 
-@query()
+_BOTH = ", ".join(f"{_axes_drawn(i, 1, 'dataset_idx', 'prompt_idx')} AS a{i}" for i in (0, 1))
+_SIDES = ", ".join(f"{_reply('response', _axes_sql(f'a{i}', i, 1, 'dataset_idx', 'prompt_idx'))} AS {name}" for i, name in enumerate(("chosen", "rejected")))
+
+
+@query(
+    _draw_sql(2, 1) + _SERIES + f", h AS (SELECT *, {_BOTH} FROM g), r AS (SELECT dataset_idx, prompt_idx, prompt, preference, {_SIDES} FROM h), j AS (SELECT *, {_verdict(_JUDGED)} AS v FROM r)"
+    f" {_SAMPLE}, CASE WHEN v=0 THEN rejected ELSE chosen END AS chosen, CASE WHEN v=0 THEN chosen ELSE rejected END AS rejected FROM j"
+)
 def generated_axes(spark, d):
     """The same with contrasting responses and a judge."""
     tasks = table(spark, d, "tasks").withColumn("num_samples", F.lit(2))
@@ -480,28 +573,25 @@ def valid_replies(spark, d):
 
 
 @query(
-    _WITH + f", r AS (SELECT dataset_idx, split, sample_idx, prompt, chosen, rejected FROM s WHERE dataset_idx IN (0,5,30)), n AS (SELECT *, row_number() OVER (PARTITION BY dataset_idx ORDER BY split DESC, sample_idx)-1 AS k FROM r)"
+    _WITH + ", n AS (SELECT *, row_number() OVER (PARTITION BY dataset_idx ORDER BY split DESC, sample_idx)-1 AS k FROM s)"
     " SELECT dataset_idx, k AS sample_idx, split, md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5 FROM n"
 )
 def json_roundtrip(spark, d):
-    """Three datasets written as one JSON document and read again."""
-    s = samples(spark, d).where("dataset_idx in (0, 5, 30)")
-    t = table(spark, d, "tasks").where("dataset_idx in (0, 5, 30)")
-    place = F.when(F.col("dataset_idx") == 0, 0).when(F.col("dataset_idx") == 5, 1).otherwise(2)
+    """The whole series written as one JSON document and read again."""
     path = f"{shared_folder(spark)}/prefloom-{uuid.uuid4().hex}.json"
-    json_io.write_json(s.withColumn("dataset_idx", place), t.withColumn("dataset_idx", place), path)
+    json_io.write_json(samples(spark, d), table(spark, d, "tasks"), path)
     back = cut(json_io.read_json(spark, path)[0], "series")
-    named = F.element_at(F.array(F.lit(0), F.lit(5), F.lit(30)), F.col("dataset_idx") + 1)
-    return back.select(named.alias("dataset_idx"), "sample_idx", "split", *(F.md5(c).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")))
+    delete(spark, path)
+    return back.select("dataset_idx", "sample_idx", "split", *(F.md5(c).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")))
 
 
 @query(
-    "WITH p AS (SELECT 'runs/task-'||(vec_id%7)::varchar||'/checkpoint-'||(vec_id*100)::varchar AS path FROM embeddings WHERE vec_id < 50 UNION ALL SELECT 'runs/task-'||(vec_id%7)::varchar||'/logs' FROM embeddings WHERE vec_id < 50)"
+    "WITH p AS (SELECT 'runs/task-'||(vec_id%7)::varchar||'/checkpoint-'||(vec_id*100)::varchar AS path FROM embeddings UNION ALL SELECT 'runs/task-'||(vec_id%7)::varchar||'/logs' FROM embeddings)"
     " SELECT path, 'task-'||split_part(split_part(path,'/',2),'-',2) AS run, split_part(path,'/',3) AS checkpoint FROM p WHERE contains(path,'checkpoint') ORDER BY path"
 )
 def checkpoint_order(spark, d):
     """Checkpoints in textual order."""
-    v = table(spark, d, "embeddings").where("vec_id < 50").select("vec_id")
+    v = table(spark, d, "embeddings").select("vec_id")
     base = F.concat(F.lit("runs/task-"), (F.col("vec_id") % 7).cast("string"))
     paths = v.select(F.concat(base, F.lit("/checkpoint-"), (F.col("vec_id") * 100).cast("string")).alias("path")).union(v.select(F.concat(base, F.lit("/logs"))))
     return M.checkpoint_order(paths)
@@ -613,6 +703,25 @@ def ppo_losses(spark, d):
     return r.select("user_id", F.posexplode(z).alias("t", "x")).select("user_id", "t", F.round("x.p.loss", 6).alias("policy_loss"), F.col("x.p.clipped").alias("clipped"), F.round("x.q", 6).alias("value_loss"))
 
 
+@query(
+    f"WITH {ROLLOUT_SQL}, x AS (SELECT exp(r-v) AS ratio, v-0.1 AS a, r, v FROM e), y AS (SELECT ratio, r, v, -a*ratio AS plain, -a*greatest(0.8::double,least(1.2::double,ratio)) AS bound,"
+    " 0.5*power(r-0.3::double,2) AS q, 0.5*power(greatest(v-0.2::double,least(v+0.2::double,r))-0.3::double,2) AS w FROM x)"
+    " SELECT round(avg(greatest(plain,bound)),6) AS policy_loss, round(avg(greatest(q,w)),6) AS value_loss, round(avg(0.5*(r-v)*(r-v)),6) AS approx_kl, round(avg((bound>plain)::int),6) AS policy_clipped,"
+    " round(avg((w>q)::int),6) AS value_clipped, round(avg(ratio),6) AS ratio_mean, round(var_samp(ratio),6) AS ratio_var FROM y"
+)
+def update_metrics(spark, d):
+    """Losses, approximate KL, clipped shares and the ratio's moments of a batch of updates."""
+    r = rollouts(spark, d).withColumn("adv", F.transform("v", lambda x: x - F.lit(0.1))).withColumn("ret", F.transform("v", lambda x: F.lit(0.3)))
+    return _rounded(rollout.update_metrics(r, "r", "v", "adv", "r", "v", "ret", 0.2, 0.2), 6)
+
+
+@query(f"WITH {_TOKENS} SELECT count(*) FILTER (tok=7)::bigint AS num_eos_tokens FROM e")
+def eos_tokens(spark, d):
+    """End tokens of the batch."""
+    r = _responses(spark, d).withColumn("zero", F.transform("tok", lambda x: F.lit(0.0))).withColumn("score", F.lit(0.0))
+    return rollout.objective_metrics(r, "zero", "zero", "score", 0.05, "tok", 7).select("num_eos_tokens")
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 _METRICS = "m AS (SELECT CASE WHEN event_id%2=0 THEN 'train' ELSE 'eval' END AS split, CASE WHEN event_id%5=0 THEN NULL ELSE 'task-'||(user_id%4)::varchar END AS task, event_id%6=1 AS is_final, event_type AS key, value FROM events)"
@@ -691,6 +800,17 @@ def reward_model_join(spark, d):
     return t.select("dataset_idx", "objective").join(models, "dataset_idx")
 
 
+@query(
+    _WITH + ", c AS (SELECT *, CASE WHEN contains(lower(prompt),'r/relationships') THEN 0 ELSE 1 END AS i FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY i, split ORDER BY sample_id) AS k FROM c),"
+    + f" m AS (SELECT *, CASE i WHEN 0 THEN CASE split WHEN 'train' THEN {C.TASK_LIMITS['relationships'][0]} ELSE {C.TASK_LIMITS['relationships'][1]} END ELSE CASE split WHEN 'train' THEN {C.TASK_LIMITS['others'][0]} ELSE {C.TASK_LIMITS['others'][1]} END END AS most,"
+    + f" CASE WHEN split='train' THEN CASE i WHEN 0 THEN {C.TASK_LIMITS['relationships'][2]} ELSE {C.TASK_LIMITS['others'][2]} END ELSE 0 END AS back FROM k)"
+    + f" SELECT 'reward' AS purpose, i::int AS dataset_idx, split, sample_id FROM m WHERE k <= most AND chosen <> rejected AND {_LEN('chosen')} >= 5 AND {_LEN('rejected')} >= 5 UNION ALL SELECT 'rl', i::int, split, sample_id FROM m WHERE k <= most - back"
+)
+def task_corpora(spark, d):
+    """The corpora of the two-task series, for reward models and for reinforcement learning."""
+    return C.task_corpora(samples(spark, d, "sample_id", "split", "prompt", "chosen", "rejected"), "sample_id").select("purpose", "dataset_idx", "split", "sample_id")
+
+
 # --- losses, chat, tokens --------------------------------------------------------------------------------------------
 
 def _pairs(spark, d) -> DataFrame:

@@ -48,7 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,7 +67,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prefloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path)
     return out
@@ -76,7 +77,7 @@ def drop(df: DataFrame) -> None:
     """Delete the table behind a result of ``cut`` that nothing reads any more."""
     held = _paths.get(id(df))
     if held and held[0]() is df:
-        _delete(df.sparkSession, held[1])
+        delete(df.sparkSession, held[1])
 
 
 def ship(spark: SparkSession) -> None:

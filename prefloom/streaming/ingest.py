@@ -17,11 +17,6 @@ def once(stream: DataFrame, key: str, time: str, late: str = "30 days") -> DataF
     return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def running_counts(stream: DataFrame, time: str, window: str = "1 day", late: str = "30 days") -> DataFrame:
-    """Deliveries and mean text length for each window and source; a window closes once it is ``late`` behind."""
-    return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, window), "source").agg(F.count("*").alias("rows"), F.avg(F.length("chosen")).alias("mean_length"))
-
-
 def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "sample_id", time: str = "ingested_at", late: str = "30 days", available_now: bool = True) -> StreamingQuery:
     """Append new deliveries to a Parquet table partitioned by dataset; restarts neither lose nor repeat rows."""
     writer = once(stream, key, time, late).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("dataset_idx").outputMode("append")
