@@ -349,13 +349,20 @@ def test_leaks(spark):
     out = K.leaked_items(d.union(d.limit(50)), t)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want
     assert K.leak_report(out, t).where("documents > 0").count() == len({i for _, i in want})
+    assert all(r.run == max(r.passage_run, r.question_run) >= K.RUN for r in out.collect())
+    many = K.leaked_items(d, t, shard_bytes=2000)  # an index of many shards
+    assert {(r.doc_id, r.item_id) for r in many.collect()} == want
     assert K.leaked_items(d.limit(0), t).count() == 0 and K.leaked_items(d, t.limit(0)).count() == 0
 
 
 def test_block_maxima_miss_nothing():
     """Every window above a unit's threshold is retrieved, as by scoring all units."""
     items, docs, _ = leak_data()
-    (shard,) = K.build_index(items)
+    shard = K.build_index(items)
+    term = np.repeat(shard.block_key // len(shard.block_least), np.diff(shard.block_first))
+    weights = np.zeros((len(shard.terms), len(shard.least)))
+    weights[term, shard.unit] = shard.weight
+    assert (np.diff(shard.unit)[np.diff(term) == 0] > 0).all() and (shard.greatest[:-1] == weights.max(axis=1)).all()
     w = W.words([t for _, t in docs])
     got = {(t, u, s) for t, u, _, s, _ in K._retrieve(shard, w)}
     place = {int(t): i for i, t in enumerate(shard.terms)}
@@ -363,7 +370,7 @@ def test_block_maxima_miss_nothing():
         a, b = int(w.first[text]), int(w.first[text + 1])
         for s in range(a, max(a + 1, b - K.WINDOW + K.STRIDE), K.STRIDE):
             q = {place[h] for h in w.hashes[s : min(b, s + K.WINDOW)].tolist() if h in place}
-            score = shard.weights[sorted(q)].sum(axis=0) if q else np.zeros(shard.weights.shape[1])
+            score = weights[sorted(q)].sum(axis=0) if q else np.zeros(len(shard.least))
             grams = set(K._grams(w.hashes[s : min(b, s + K.WINDOW)], K.PIECE).tolist())
             for u in np.flatnonzero(score >= shard.least):
                 assert ((text, int(u), s) in got) == (not shard.unit_pieces[u].isdisjoint(grams))
