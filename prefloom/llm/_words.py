@@ -132,11 +132,6 @@ def pairs_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return both[keep], first
 
 
-def regroup(values: np.ndarray, first: np.ndarray, fields: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge each run of ``fields`` neighbouring groups (the fields of one record) into one."""
-    return values, first[::fields]
-
-
 def minima(values: np.ndarray, first: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
     """``count`` min-hash values (uint32) for each group; an empty group gets the highest value."""
     rng = np.random.default_rng(seed)

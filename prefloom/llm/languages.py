@@ -2,8 +2,9 @@
 
 Method: multilingual mixture inference.  Character-trigram models give every word a likelihood in
 each language; expectation-maximisation estimates each document's language proportions over its
-sentences, and the language set is chosen by penalised likelihood.  Documents in several languages
-are then cut into parts by a Viterbi pass over words within that set.
+sentences.  The language set is chosen by penalised likelihood: from the best single language on, that language joins which
+raises the likelihood of the best path over the words most, less what its changes of language and the language itself cost; the path of
+the set chosen gives the parts.
 
 The models are fitted on a bounded sample of labelled documents (``MAX_TRAIN``): labels are taken
 first, then each sentence's language is re-estimated, so wrong labels and mixed documents wash out.
@@ -28,8 +29,9 @@ from prefloom.session import arrow_map
 MAX_TRAIN, BUCKETS, ROUNDS = 4000, 1 << 16, 3
 #: A part has at least this many words.
 LEAST = 8
-#: Log-likelihood a further language must gain, and what a change of language costs within and between sentences.
-PENALTY, INSIDE, BETWEEN = 10.0, 14.0, 5.0
+#: Log-likelihood a language must gain by itself to be tried, what one more in the set costs, and what a change of language costs within
+#: and between sentences.
+PENALTY, SET, INSIDE, BETWEEN = 10.0, 1.0, 14.0, 5.0
 #: A word's log-likelihood falls at most this far below its best language, so that one name decides nothing.
 FLOOR = 4.0
 EM_STEPS = 12
@@ -147,8 +149,8 @@ def _proportions(unit: np.ndarray, doc_first: np.ndarray, size: np.ndarray) -> n
     return p
 
 
-def _viterbi(score: np.ndarray, opens: np.ndarray) -> np.ndarray:
-    """Best language index of each word; a change costs less where a sentence opens."""
+def _viterbi(score: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, float]:
+    """Best language index of each word, and the path's penalised likelihood; a change costs less where a sentence opens."""
     n, k = score.shape
     s = score.tolist()
     o = opens.tolist()
@@ -163,11 +165,30 @@ def _viterbi(score: np.ndarray, opens: np.ndarray) -> np.ndarray:
         best = [(best[j] if best[j] >= jump else jump) + row[j] for j in states]
         back.append(came)
     at = max(states, key=best.__getitem__)
+    value = best[at]
     out = [at]
     for came in reversed(back):
         at = came[at]
         out.append(at)
-    return np.array(out[::-1])
+    return np.array(out[::-1]), value
+
+
+def language_set(score: np.ndarray, opens: np.ndarray, best: int, candidates: list[int]) -> np.ndarray:
+    """The language of each word within the set of greatest penalised likelihood, found by adding one language at a time."""
+    chosen, path, value = [best], np.full(len(score), best), float(score[:, best].sum())
+    left = list(candidates)
+    while left:
+        tried = []
+        for j in left:
+            some = [*chosen, j]
+            at, v = _viterbi(score[:, some], opens)
+            tried.append((v - SET, j, np.array(some)[at]))
+        v, j, at = max(tried, key=lambda t: t[0])
+        if v <= value:
+            break
+        chosen, path, value = [*chosen, j], at, v
+        left = [x for x in left if x != j]
+    return path
 
 
 def _parts(lang: np.ndarray, score: np.ndarray) -> list[tuple[int, int, int]]:
@@ -228,14 +249,12 @@ def document_parts(model: TrigramModel, w: W.Words) -> list[list[tuple[int, int,
     for d in range(len(docs)):
         a, m = int(begin[d]), int(counts[d])
         best = int(single[d])
-        # candidates by proportion or by a window; each must gain more than its penalty
+        # candidates by EM proportion, or by a window for changes within a sentence
         more = [j for j in range(k) if j != best and (p[d, j] * m >= LEAST - 2 and gain[d, j] > PENALTY or window[d, j] > PENALTY)] if m >= 2 * LEAST else []
         parts = [(0, m, best)]
         if more:
-            chosen = [best, *more]
             part = score[a : a + m]
-            lang = np.array(chosen)[_viterbi(part[:, chosen], opens[a : a + m])]
-            parts = _parts(lang, part)
+            parts = _parts(language_set(part, opens[a : a + m], best, more), part)
         for s, e, j in parts:
             total = sums[a + e] - sums[a + s]
             margin = (total - total[j]) / np.sqrt(e - s)

@@ -10,6 +10,7 @@ their length, computed in salted pieces so that a length shared by very many tex
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ _encoders: dict = {}
 
 def _encoder(ranks_file: bytes):
     """One encoder for each worker process."""
-    key = len(ranks_file)
+    key = hashlib.blake2b(ranks_file).digest()
     if key not in _encoders:
         import tiktoken
 

@@ -1,6 +1,6 @@
 """Problem 2: a subset of given size that covers the variety of the data.
 
-Method: distributed farthest-first k-center.  Every block of rows selects its own representatives
+Method: distributed farthest-first k-center.  Every block of rows (by a hash of their ids) selects its own representatives
 greedily, representatives are pooled a few blocks at a time, and farthest-first runs again on each
 pool until one is left.  Greedy selections are prefixes of each other, so requests over the same rows share one
 run.  A prompt's point has a part for the tasks' seed words, weighted by their rarity, and a part for all its
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm import _words as W
+from prefloom.operators.ordered import rank_within
 from prefloom.session import arrow_map, cut, ship
 
 SEED_DIMS, WORD_DIMS = 64, 32
 #: How much an uncovered seed word adds to a squared distance, as a multiple of its squared weight.
 COVER = 4.0
-#: Rows a block holds at least (four times the selection if that is more), and blocks that are pooled at once.
+#: Rows a block holds on average, and blocks that are pooled at once.
 BLOCK, FAN_IN = 16_384, 16
 #: Seed words beyond which the task tables are no small side tables any more.
 MAX_SEEDS = 1_000_000
@@ -112,31 +113,27 @@ def farthest_first(ids: np.ndarray, x: np.ndarray, k: int, held: list[np.ndarray
 
 
 def _select(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, weights: np.ndarray, sizes: dict) -> Iterator[pa.RecordBatch]:
-    """(id, dataset, text) to the representatives of this task's rows, for each wanted dataset and for all (null)."""
-    held: dict = {g: ([], [], []) for g in sizes}
-
-    def reduce(g) -> None:
-        ids, x, words = np.concatenate(held[g][0]), np.concatenate(held[g][1]), held[g][2]
-        at, _ = farthest_first(ids, x, sizes[g], words, weights)
-        held[g] = ([ids[at]], [x[at]], [words[i] for i in at])
+    """(id, dataset, text) of one block to its representatives, for each wanted dataset and for all (null).
 
+    The whole block is at hand before anything is chosen, so the order in which its rows arrive decides nothing.
+    """
+    ids, sets, x, words = [], [], [], []
     for batch in batches:
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-        sets = np.array(batch.column(1).to_pylist(), dtype=object)
-        x, words = points(batch.column(2).to_pylist(), seeds, weights)
-        for g, k in sizes.items():
-            sel = np.arange(len(ids)) if g is None else np.flatnonzero(sets == g)
-            held[g][0].append(ids[sel])
-            held[g][1].append(x[sel])
-            held[g][2].extend(words[i] for i in sel)
-            if sum(map(len, held[g][0])) > max(BLOCK, 4 * k):
-                reduce(g)
-    for g in held:
-        if sum(map(len, held[g][0])):
-            reduce(g)
-            ids, x = held[g][0][0], held[g][1][0]
-            columns = [pa.array([g] * len(ids), pa.int64()), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([w.tobytes() for w in held[g][2]], pa.binary())]
-            yield pa.record_batch(columns, ["grp", "id", "point", "words"])
+        if batch.num_rows:
+            ids.append(np.asarray(batch.column(0).to_numpy(zero_copy_only=False)))
+            sets += batch.column(1).to_pylist()
+            p, w = points(batch.column(2).to_pylist(), seeds, weights)
+            x.append(p)
+            words += w
+    if not ids:
+        return
+    ids, x, sets = np.concatenate(ids), np.concatenate(x), np.array(sets, dtype=object)
+    for g, k in sizes.items():
+        sel = np.arange(len(ids)) if g is None else np.flatnonzero(sets == g)
+        at, _ = farthest_first(ids[sel], x[sel], k, [words[i] for i in sel], weights)
+        at = sel[at]
+        columns = [pa.array([g] * len(at), pa.int64()), pa.array(ids[at]), pa.array([x[i].tobytes() for i in at], pa.binary()), pa.array([words[i].tobytes() for i in at], pa.binary())]
+        yield pa.record_batch(columns, ["grp", "id", "point", "words"])
 
 
 def _count_seeds(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -171,15 +168,35 @@ def varied_subsets(
     """For each request (request_id, ``group_col``, subset_size) the chosen rows.
 
     Returns (request_id, place, ``id_col``, distance): place counts from 1 in the order chosen, distance is that to the nearest
-    row chosen before (null for the first).  A null group means all rows; a size above the rows means all of
-    them; a null or non-positive size none.  Repeated ids count once, null ids are dropped, a null text is a point without
+    row chosen before (null for the first).  A null group means all rows; a size that isn't below the number of rows means all of
+    them, without a selection: in order of id, with a null distance.  A null or non-positive size means none.  The result
+    doesn't depend on how the rows are partitioned.  Repeated ids count once, null ids are dropped, a null text is a point without
     words.  Unknown groups and empty tables give no rows.
     """
     spark = rows.sparkSession
     wanted = [(r[0], r[1], r[2]) for r in requests.select("request_id", group_col, "subset_size").collect() if r[2] and r[2] > 0]
+    picked = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.col(text_col).alias("t"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    # rows of each wanted group; one number each
+    one = picked.select("id", "g").dropDuplicates(["id"])
+    have = {r[0]: r[1] for r in one.where(F.col("g").isin([g for _, g, _ in wanted if g is not None])).groupBy("g").count().collect()}
+    have[None] = one.count()
+    whole = [(i, g) for i, g, k in wanted if k >= have.get(g, 0)]
+    every = None
+    for i, g in whole:
+        part = one if g is None else one.where(F.col("g") == g)
+        part = rank_within(part.select(F.lit(i).alias("request_id"), "id", F.xxhash64("id").alias("h")), ["request_id"], F.col("id") if kind in ("int", "bigint") else F.col("h"), ["id"], "place")
+        part = part.select("request_id", F.col("place").cast("int"), F.col("id").alias(id_col), F.lit(None).cast("double").alias("distance"))
+        every = part if every is None else every.unionByName(part)
+    asked_for_all = {i for i, _ in whole}
     sizes: dict = {}
-    for _, g, k in wanted:
-        sizes[g] = max(k, sizes.get(g, 0))
+    for i, g, k in wanted:
+        if i not in asked_for_all:
+            sizes[g] = max(k, sizes.get(g, 0))
+    if every is None:
+        every = spark.createDataFrame([], f"request_id int, place int, {id_col} {kind}, distance double")
+    if not sizes:
+        return every
     words = [r[0] for r in tasks.select(F.explode(F.map_values("domain")).alias("c")).select(F.explode("c.seed_words").alias("w")).where("w is not null").distinct().limit(MAX_SEEDS + 1).collect()]
     if len(words) > MAX_SEEDS:
         raise ValueError(f"more than {MAX_SEEDS} seed words")
@@ -187,13 +204,12 @@ def varied_subsets(
     counts = {r[0]: r[1] for r in arrow_map(rows.select(text_col), lambda it: _count_seeds(it, seeds), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()}
     total = max(1, counts.get(-1, 0))
     weights = np.array([np.log((total + 1) / (counts.get(i, 0) + 1)) + 0.5 for i in range(len(seeds))], dtype=np.float32) / np.log(total + 2)
-    kind = rows.schema[id_col].dataType.simpleString()
-    picked = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.col(text_col).alias("t"))
     if not any(g is None for g in sizes):
         picked = picked.where(F.col("g").isin(list(sizes)))
+    blocks = max(1, -(-(have[None] if None in sizes else sum(have[g] for g in sizes)) // BLOCK))
+    picked = picked.repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     chosen = arrow_map(picked, lambda it: _select(it, seeds, weights, sizes), f"grp long, id {kind}, point binary, words binary").withColumn("block", F.spark_partition_id())
     chosen = cut(chosen, "representatives")
-    blocks = (chosen.agg(F.max("block")).first()[0] or 0) + 1
     ship(spark)
     schema = f"grp long, id {kind}, point binary, words binary, block int, place int, distance double"
     while True:
@@ -202,9 +218,9 @@ def varied_subsets(
         chosen = cut(pooled.groupBy("grp", "block").applyInPandas(lambda pdf: _merge(pdf, sizes, weights), schema), "pool")
         if blocks == 1:
             break
-    asked = spark.createDataFrame([(i, g, k) for i, g, k in wanted], "request_id int, grp long, size int")
-    asked = asked.withColumnRenamed("grp", "g")
-    return (
+    asked = spark.createDataFrame([(i, g, k) for i, g, k in wanted if i not in asked_for_all], "request_id int, g long, size int")
+    selected = (
         chosen.join(F.broadcast(asked), F.col("grp").eqNullSafe(F.col("g")) & (F.col("place") <= F.col("size")))
         .select("request_id", "place", F.col("id").alias(id_col), F.when(F.col("place") > 1, F.round("distance", 3)).alias("distance"))
     )
+    return selected.unionByName(every)

@@ -43,6 +43,11 @@ def test_subsets(spark, monkeypatch):
     assert all(len(set(v)) == len(v) for v in by.values()) and by[3] == by[2][:10]
     assert 17 in by[3]  # the rare seed word
     assert sum(i % 3 == 0 for i in by[2]) <= 6  # a third of the rows, at most a fifth of the choice
+    everything = sorted((r for r in out if r.request_id == 4), key=lambda r: r.place)
+    assert [r.sample_id for r in everything] == sorted(r.sample_id for r in everything) and {r.distance for r in everything} == {None}
+    monkeypatch.setattr(S, "BLOCK", 100)
+    some = [{tuple(r) for r in S.varied_subsets(samples.repartition(k), requests, tasks).collect()} for k in (1, 7)]
+    assert some[0] == some[1]  # however the rows are partitioned
     far = [r.distance for r in sorted(out, key=lambda r: r.place) if r.request_id == 2]
     assert far[0] is None and all(d > 0 for d in far[1:])
 
