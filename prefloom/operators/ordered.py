@@ -37,11 +37,11 @@ def _ranged(x: DataFrame, groups: list[str], ranges: int) -> DataFrame:
 
 
 def _offsets(x: DataFrame, groups: list[str], count: Column) -> DataFrame:
-    """(keys, _pf_r, _pf_before): how many rows of the group stand in earlier ranges."""
+    """(keys, _pf_r, _pf_before, _pf_size): how many rows of the group stand in earlier ranges, and in all."""
     keys = [f"_pf_g{i}" for i in range(len(groups))]
     counts = x.groupBy(*groups, "_pf_range").agg(count.alias("_pf_n"))
     before = Window.partitionBy(*groups).orderBy("_pf_range").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col("_pf_range").alias("_pf_r"), F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_before"))
+    return counts.select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col("_pf_range").alias("_pf_r"), F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_before"), F.sum("_pf_n").over(Window.partitionBy(*groups)).alias("_pf_size"))
 
 
 def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: list[str], out: str = "rank", ranges: int = RANGES) -> DataFrame:
@@ -57,7 +57,7 @@ def rank_within(df: DataFrame, groups: list[str], order: Column | str, ties: lis
     counts = _offsets(x, groups, F.count("*"))
     local = F.row_number().over(Window.partitionBy(*groups, "_pf_range").orderBy(F.col("_pf_order").asc_nulls_last(), *ties))
     x = x.withColumn("_pf_local", local).join(counts, (F.col("_pf_range") == F.col("_pf_r")) & _same(groups, keys))
-    return x.withColumn(out, F.col("_pf_before") + F.col("_pf_local")).drop("_pf_order", "_pf_range", "_pf_r", "_pf_before", "_pf_local", *keys)
+    return x.withColumn(out, F.col("_pf_before") + F.col("_pf_local")).drop("_pf_order", "_pf_range", "_pf_r", "_pf_before", "_pf_size", "_pf_local", *keys)
 
 
 def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
@@ -70,8 +70,7 @@ def exact_median(df: DataFrame, groups: list[str], value: str, out: str = "media
     keys = [f"_pf_g{i}" for i in range(len(groups))]
     within = Window.partitionBy(*groups, "_pf_range").orderBy("_pf_order").rowsBetween(Window.unboundedPreceding, 0)
     upto = x.withColumn("_pf_last", F.sum("_pf_k").over(within)).join(_offsets(x, groups, F.sum("_pf_k")), (F.col("_pf_range") == F.col("_pf_r")) & _same(groups, keys)).drop(*keys)
-    sizes = rows.groupBy(*groups).agg(F.sum("_pf_k").alias("_pf_size")).select(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), "_pf_size")
-    upto = upto.join(sizes, _same(groups, keys)).withColumn("_pf_last", F.col("_pf_before") + F.col("_pf_last")).withColumn("_pf_first", F.col("_pf_last") - F.col("_pf_k") + 1)
+    upto = upto.withColumn("_pf_last", F.col("_pf_before") + F.col("_pf_last")).withColumn("_pf_first", F.col("_pf_last") - F.col("_pf_k") + 1)
     # the places in the middle, from 1: one of an odd number, two of an even one
     low, high = F.floor((F.col("_pf_size") + 1) / 2), F.floor((F.col("_pf_size") + 2) / 2)
     holds = lambda p: ((F.col("_pf_first") <= p) & (p <= F.col("_pf_last"))).cast("int")

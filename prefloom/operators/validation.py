@@ -106,31 +106,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(groups..., vector) to one (groups..., n, sum of unit vectors) row for each group of a batch."""
+    """(groups..., vector) to one (groups..., [rows, sum of unit vectors...]) row for each group of a batch."""
     for batch in batches:
         keys = pa.Table.from_batches([batch]).drop_columns(["_pf_v"]).append_column("_pf_i", pa.array(np.arange(batch.num_rows)))
         names = [c for c in keys.column_names if c != "_pf_i"]
         groups = keys.group_by(names).aggregate([("_pf_i", "list")])
         m = _matrix(batch.column(batch.num_columns - 1))
-        lists = groups["_pf_i_list"].to_pylist()
-        out = [m[i].sum(axis=0) for i in lists]
-        yield pa.record_batch([*(groups[n].combine_chunks() for n in names), pa.array([len(i) for i in lists], pa.int64()), pa.array(out, pa.list_(pa.float64()))], [*names, "_pf_n", "_pf_sum"])
+        out = [np.append(len(i), m[i].sum(axis=0)) for i in groups["_pf_i_list"].to_pylist()]
+        yield pa.record_batch([*(groups[n].combine_chunks() for n in names), pa.array(out, pa.list_(pa.float64()))], [*names, "_pf_sum"])
 
 
-def _dots(batches: Iterator[pa.RecordBatch], at: int, total: int) -> Iterator[pa.RecordBatch]:
-    """Add the dot product of the unit vector (column ``at``) with its group's sum (column ``total``), which is dropped."""
+def _dissimilar(batches: Iterator[pa.RecordBatch], at: int, total: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Add 1 less the mean similarity of the vector in column ``at`` to its group, whose sums in column ``total`` are dropped."""
     for batch in batches:
         a, b = _matrix(batch.column(at)), batch.column(total)
         size = b.value_lengths().to_numpy(zero_copy_only=False)
         flat = b.flatten().to_numpy(zero_copy_only=False)
-        width = a.shape[1]
         first = np.cumsum(size) - size
+        places = np.arange(1, a.shape[1] + 1)
         # a group's sum is as long as its longest vector
-        grid = np.minimum(first[:, None] + np.arange(width), max(0, len(flat) - 1))
-        inside = np.arange(width) < size[:, None]
-        dot = (a * np.where(inside, flat[grid] if len(flat) else 0.0, 0.0)).sum(axis=1)
+        grid = np.minimum(first[:, None] + places, max(0, len(flat) - 1))
+        dot = (a * np.where(places < size[:, None], flat[grid] if len(flat) else 0.0, 0.0)).sum(axis=1)
         keep = [i for i in range(batch.num_columns) if i != total]
-        yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(dot)], [*(batch.schema.names[i] for i in keep), "_pf_dot"])
+        yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(1.0 - dot / flat[first])], [*(batch.schema.names[i] for i in keep), name])
 
 
 def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "diversity") -> DataFrame:
@@ -141,21 +139,16 @@ def diversity(rows: DataFrame, vector: str, groups: list[str], value: str = "div
     """
     rows = rows.where(F.col(vector).isNotNull())
     kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
-    part = arrow_map(rows.select(*groups, F.col(vector).alias("_pf_v")), _sums, f"{kinds}, _pf_n long, _pf_sum array<double>")
-    each = part.select(*groups, "_pf_n", F.posexplode("_pf_sum").alias("_pf_d", "_pf_x")).groupBy(*groups, "_pf_d").agg(F.sum("_pf_x").alias("_pf_s"))
+    part = arrow_map(rows.select(*groups, F.col(vector).alias("_pf_v")), _sums, f"{kinds}, _pf_sum array<double>")
+    each = part.select(*groups, F.posexplode("_pf_sum").alias("_pf_d", "_pf_x")).groupBy(*groups, "_pf_d").agg(F.sum("_pf_x").alias("_pf_s"))
     # one short array a group
-    total = each.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pf_d", "_pf_s"))), lambda e: e["_pf_s"]).alias("_pf_sum"))
-    sizes = part.groupBy(*groups).agg(F.sum("_pf_n").alias("_pf_n"))
-    named = lambda df: df.select(*(F.col(g).alias(f"_pf_g{i}") for i, g in enumerate(groups)), *(c for c in df.columns if c not in groups))
-    match = lambda left: reduce(and_, (left[g].eqNullSafe(F.col(f"_pf_g{i}")) for i, g in enumerate(groups)))
     keys = [f"_pf_g{i}" for i in range(len(groups))]
-    joined = sizes.join(named(total), match(sizes), "left").drop(*keys)
-    joined = rows.join(named(joined), match(rows)).drop(*keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_pf_sum") + ", _pf_dot double"
+    total = each.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True))).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pf_d", "_pf_s"))), lambda e: e["_pf_s"]).alias("_pf_sum"))
+    joined = rows.join(total, reduce(and_, (rows[g].eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)))).drop(*keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_pf_sum", value)) + f", `{value}` double"
+    joined = joined.drop(value)
     at, where = joined.columns.index(vector), joined.columns.index("_pf_sum")
-    joined = joined.withColumn("_pf_sum", F.coalesce("_pf_sum", F.array().cast("array<double>")))
-    out = arrow_map(joined, lambda it: _dots(it, at, where), schema)
-    return out.withColumn(value, F.lit(1.0) - F.col("_pf_dot") / F.col("_pf_n")).drop("_pf_dot", "_pf_n")
+    return arrow_map(joined, lambda it: _dissimilar(it, at, where, value), schema)
 
 
 def diversity_report(rows: DataFrame, vector: str, groups: list[str]) -> DataFrame:
