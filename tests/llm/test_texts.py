@@ -110,7 +110,7 @@ def test_refusals(text, want):
     assert D.is_refusal(text) == want
 
 
-#: Refusals as people write them.  The automaton knew 46 of them when they were first tried; its classes were then widened.
+#: Refusals as people write them.  The automaton knew 46 of them before its classes were widened by looking at the others.
 HELD_OUT = """I refuse to answer.
 I decline.
 No comment.
