@@ -150,9 +150,28 @@ def minima(values: np.ndarray, first: np.ndarray, count: int, seed: int = 1) ->
     return out
 
 
-def two_words(signature: np.ndarray) -> np.ndarray:
-    """128 min-hashes as a sketch of two 64-bit words."""
-    return np.stack([one_bit(signature[:, :64]), one_bit(signature[:, 64:])], axis=1)
+def long_sketch(values: np.ndarray, first: np.ndarray, words: int, seed: int = 1) -> np.ndarray:
+    """A sketch of ``words`` 64-bit words for each group: one scrambled bit of each of 64 * words min-hashes, two to a product."""
+    rng = np.random.default_rng(seed)
+    mul = rng.integers(1, 2**63, size=32 * words, dtype=np.uint64) | np.uint64(1)
+    add = rng.integers(0, 2**63, size=32 * words, dtype=np.uint64)
+    out = np.zeros((len(first) - 1, words), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if not len(full):
+        return out
+    at = first[full]
+    product, half = np.empty(len(values), np.uint64), np.empty(len(values), np.uint32)
+    for w in range(words):
+        bits = np.zeros(len(full), np.uint64)
+        for i in range(64):
+            if not i % 2:
+                k = 32 * w + i // 2
+                np.add(np.multiply(values, mul[k], out=product), add[k], out=product)
+            np.copyto(half, product.view(np.uint32)[i % 2 :: 2])
+            least = np.minimum.reduceat(half, at)
+            bits |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i)
+        out[full, w] = bits
+    return out
 
 
 def one_bit(signature: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ Method: winnowing.  Rolling hashes of ``GRAM`` words are thinned to the minima o
 ``WINDOW`` positions, so any run of ``GRAM + WINDOW - 1`` words that two records share gives both
 the same seed.  Seeds of the two splits are joined (packed into blobs and sorted with numpy); a
 seed that is frequent on both sides is compared whole, train times test, in blocks of sketches that are spread over tasks.
-Candidates pass a 128-bit one-bit sketch; the exact likeness decides (``_verify``), and the seeds of the pairs that
+Candidates pass a one-bit sketch of 384 bits; the exact likeness decides (``_verify``), and the seeds of the pairs that
 remain are chained collinearly and extended word by word.
 """
 
@@ -25,8 +25,10 @@ from prefloom.llm._verify import gather, grid, likeness, parts_for
 from prefloom.session import arrow_map, cut, ship, small
 
 THRESHOLD, GRAM, WINDOW = 0.6, 4, 12
-#: Bits of 128 in which the sketches of two records must agree (likeness 0.6: about 102, deviation 4.5).
-AGREE = 92
+#: Words of 64 bits in a record's sketch, and the bits of each 128 in which two sketches must agree on average: 281 of 384 (likeness 0.6:
+#: about 307, deviation 7.8; likeness 0.25, as of records by the same phrases: 240, deviation 9.5, so false candidates stay few among
+#: quadratically many records that share a phrase).  Pairs whose first 128 bits differ in over FIRST aren't compared further (0.6: about 26, deviation 4.5).
+WORDS, AGREE, FIRST = 6, 93.5, 40
 #: A run shared with a record of under SHORT word pairs may be too short for a window.  Such records, and all that may be like one of
 #: them, also give word pairs as seeds: of any order of all word pairs, two records of likeness t share one among each one's first
 #: n - ceil(t n) + 1 (prefix filter).  Pairs of two function words come last in the order, so they are hardly ever seeds.
@@ -39,11 +41,11 @@ HOT_BATCH = 256
 #: Rows of one side of a block that fits the processor's cache; pairs held at once, above which repeats are dropped.
 CACHE, HELD_PAIRS = 512, 4_000_000
 #: Bytes of seed rows for each character of text, as measured, for the number of partitions only.
-SEED_BYTES = 0.8
+SEED_BYTES = 1.6
 
-ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8", 2)])
-MEMBER = np.dtype([("part", "<i4"), ("key", "<u4"), ("node", "<u8"), ("sketch", "<u8", 2), ("train", "?")])
-FOUND = "train long, test long, part int, key long, first long, second long"
+ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8", WORDS)])
+MEMBER = np.dtype([("part", "<i4"), ("key", "<u4"), ("node", "<u8"), ("sketch", "<u8", WORDS), ("train", "?")])
+FOUND = "train long, test long, part int, key long, sketch binary"
 
 
 def winnow(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def _seed_rows(w: W.Words, fields: int, threshold: float) -> tuple[np.ndarray, .
     # borders between fields count for the print: mix the field number into the words
     owner = w.owner()
     node = W.order_print(W.mix(w.hashes + (owner % fields).astype(np.uint64)), record_first)
-    sketch = W.two_words(W.minima(pairs, first, 128))
+    sketch = W.long_sketch(pairs, first, WORDS)
     at, gram = winnow(w)
     record = owner[at] // fields
     if len(pairs):
@@ -161,7 +163,7 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, train: str, fields: int
         held = []
         for s in W.chunks(columns):
             record, gram, node, sketch = _seed_rows(W.words(_records(columns, s)), fields, threshold)
-            rows = np.empty(len(gram), dtype=[("full", "<u8"), ("node", "<u8"), ("sketch", "<u8", 2), ("train", "?")])
+            rows = np.empty(len(gram), dtype=[("full", "<u8"), ("node", "<u8"), ("sketch", "<u8", WORDS), ("train", "?")])
             rows["full"] = gram << np.uint64(1)
             rows["node"], rows["sketch"] = node[record], sketch[record]
             rows["train"] = split[s][record]
@@ -201,30 +203,57 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, train: str, fields: int
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which two-word sketches differ."""
-    return W.popcount(a[..., 0] ^ b[..., 0]) + W.popcount(a[..., 1] ^ b[..., 1])
+    """Bits of each 128 in which the sketches of two equally long arrays differ on average; 128 where the first 128 differ in over FIRST."""
+    first = W.popcount(a[:, 0] ^ b[:, 0]) + W.popcount(a[:, 1] ^ b[:, 1])
+    near = np.flatnonzero(first <= FIRST)
+    out = np.full(len(a), 128.0)
+    out[near] = W.popcount(a[near] ^ b[near]).sum(axis=1) * (2 / WORDS)
+    return out
+
+
+def _alike(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those places (i, j) at which the sketches ``x`` and ``y`` agree; the rest of a sketch is fetched only where its beginning agrees."""
+    near = np.flatnonzero(W.popcount(x[i, 0] ^ y[j, 0]) + W.popcount(x[i, 1] ^ y[j, 1]) <= FIRST)
+    i, j = i[near], j[near]
+    ok = _apart(x[i], y[j]) <= 128 - AGREE
+    return i[ok], j[ok]
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs (train node, test node) with agreeing sketches, in blocks that fit the processor's cache."""
     out = [np.zeros((0, 2), np.uint64)]
-    x0, x1 = (np.ascontiguousarray(a["sketch"][:, k])[:, None] for k in (0, 1))
-    y0, y1 = (np.ascontiguousarray(b["sketch"][:, k])[None, :] for k in (0, 1))
+    x, y = np.ascontiguousarray(a["sketch"]), np.ascontiguousarray(b["sketch"])
+    x0, x1 = (np.ascontiguousarray(x[:, k])[:, None] for k in (0, 1))
+    y0, y1 = (np.ascontiguousarray(y[:, k])[None, :] for k in (0, 1))
+    held = [np.empty(CACHE * CACHE, kind) for kind in (np.uint64, np.uint8, np.uint8, np.bool_)]  # fresh memory for each block would cost as much again
     for i in range(0, len(a), CACHE):
         for j in range(0, len(b), CACHE):
             rows, columns = slice(i, i + CACHE), slice(j, j + CACHE)
-            u, v = np.nonzero(W.popcount(x0[rows] ^ y0[:, columns]) + W.popcount(x1[rows] ^ y1[:, columns]) <= 128 - AGREE)
+            shape = (len(x0[rows]), y0[:, columns].shape[1])
+            d, f, g, near = (t[: shape[0] * shape[1]].reshape(shape) for t in held)
+            np.bitwise_count(np.bitwise_xor(x0[rows], y0[:, columns], out=d), out=f)
+            np.bitwise_count(np.bitwise_xor(x1[rows], y1[:, columns], out=d), out=g)
+            u = np.flatnonzero(np.less_equal(np.add(f, g, out=f), FIRST, out=near))
             if len(u):
-                out.append(np.stack([a["node"][i + u], b["node"][j + v]], axis=1))
+                u, v = _alike(x, y, i + u // shape[1], j + u % shape[1])
+                out.append(np.stack([a["node"][u], b["node"][v]], axis=1))
     return np.concatenate(out)
 
 
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Rows by key; copies of a record that came in several batches count once, else pairs would grow with the product of the copies."""
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    return rows[new]
+
+
 def _meet(a: np.ndarray, b: np.ndarray, told: np.ndarray, hot: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(candidate pairs, members of ``a`` and of ``b`` left to the blocks) of two row arrays that share a key.
 
     Left to the blocks are seeds whose sides multiply to over ``hot`` and those of which the maps told.
     """
-    a, b = a[np.argsort(a["key"], kind="stable")], b[np.argsort(b["key"], kind="stable")]
+    a, b = _once(a), _once(b)
     keys = np.intersect1d(a["key"], b["key"])
     a0, a1 = np.searchsorted(a["key"], keys), np.searchsorted(a["key"], keys, "right")
     b0, b1 = np.searchsorted(b["key"], keys), np.searchsorted(b["key"], keys, "right")
@@ -234,6 +263,7 @@ def _meet(a: np.ndarray, b: np.ndarray, told: np.ndarray, hot: int = HOT) -> tup
     later = np.isin(keys, left)
     easy = (na * nb <= EASY) & ~later
     # all small runs at once: enumerate (i, j) by counting
+    x, y = np.ascontiguousarray(a["sketch"]), np.ascontiguousarray(b["sketch"])
     total = (na * nb)[easy]
     block = np.cumsum(total) // 2_000_000
     for k in np.unique(block):
@@ -242,8 +272,8 @@ def _meet(a: np.ndarray, b: np.ndarray, told: np.ndarray, hot: int = HOT) -> tup
         where = np.repeat(sel, cells)
         at = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = a0[where] + at // nb[where], b0[where] + at % nb[where]
-        ok = _apart(a["sketch"][i], b["sketch"][j]) <= 128 - AGREE
-        out.append(np.stack([a["node"][i[ok]], b["node"][j[ok]]], axis=1))
+        i, j = _alike(x, y, i, j)
+        out.append(np.stack([a["node"][i], b["node"][j]], axis=1))
     for k in np.flatnonzero(~easy & ~later):
         out.append(_cross(a[a0[k] : a1[k]], b[b0[k] : b1[k]]))
         if sum(map(len, out[1:])) > HELD_PAIRS:  # alike records share many seeds
@@ -255,16 +285,16 @@ def _meet(a: np.ndarray, b: np.ndarray, told: np.ndarray, hot: int = HOT) -> tup
 def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
     """Candidate pairs as rows of FOUND."""
     both = np.ascontiguousarray(pairs.T).view(np.int64)
-    none = pa.nulls(len(pairs), pa.int64())
-    return pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.nulls(len(pairs), pa.int32()), none, none, none], ["train", "test", "part", "key", "first", "second"])
+    kinds = (pa.int32(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array(both[0]), pa.array(both[1]), *(pa.nulls(len(pairs), k) for k in kinds)], ["train", "test", "part", "key", "sketch"])
 
 
 def _member_rows(part: np.ndarray, rows: np.ndarray, train: np.ndarray) -> pa.RecordBatch:
     """Members of seeds that are compared in blocks, as rows of FOUND with one node only."""
     node = np.ascontiguousarray(rows["node"]).view(np.int64)
-    sketch = [np.ascontiguousarray(rows["sketch"][:, k]).view(np.int64) for k in (0, 1)]
+    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(rows), [None, pa.py_buffer(rows["sketch"].tobytes())]).cast(pa.binary())
     sides = [pa.array(node, mask=~train), pa.array(node, mask=train)]
-    return pa.record_batch([*sides, pa.array(part.astype(np.int32)), pa.array(rows["key"].astype(np.int64)), *map(pa.array, sketch)], ["train", "test", "part", "key", "first", "second"])
+    return pa.record_batch([*sides, pa.array(part.astype(np.int32)), pa.array(rows["key"].astype(np.int64)), sketch], ["train", "test", "part", "key", "sketch"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], parts: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
@@ -298,26 +328,29 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
         sel = pdf[pdf["side"] == name]
         rows = np.empty(len(sel), ROW)
         rows["node"] = sel["node"].to_numpy().view(np.uint64)
-        rows["sketch"] = np.stack([sel["first"].to_numpy(), sel["second"].to_numpy()], axis=1).view(np.uint64)
+        rows["sketch"] = np.frombuffer(b"".join(sel["sketch"]), np.uint64).reshape(-1, WORDS)
         side[name] = rows
     pairs = _cross(side["train"], side["test"]).view(np.int64)
     return pd.DataFrame({"train": pairs[:, 0], "test": pairs[:, 1]})
 
 
 def _hot_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (train, test) of seeds that are frequent on both sides: all train rows meet all test rows, SIDE by SIDE."""
+    """Candidate pairs (train, test) of seeds that are frequent on both sides: all train rows meet all test rows, SIDE by SIDE.
+
+    ``members`` are distinct; a pair is given once for each seed and block it is found by.
+    """
     run = ["part", "key"]
     node, side = F.coalesce("train", "test").alias("node"), F.when(F.col("train").isNotNull(), "train").otherwise("test").alias("side")
-    rows = members.select(*run, node, side, "first", "second").distinct()
+    rows = members.select(*run, node, side, "sketch")
     sizes = rows.groupBy(*run).agg(*(F.sum((F.col("side") == s).cast("int")).alias(s) for s in ("train", "test"))).where("train > 0 and test > 0")
     blocks = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
-    rows = rows.join(sizes.select(*run, blocks("train").alias("across"), blocks("test").alias("down")), run)
+    rows = rows.join(small(cut(sizes.select(*run, blocks("train").alias("across"), blocks("test").alias("down")), "sizes")), run)
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     train = rows.where("side = 'train'").withColumn("i", mine("across")).withColumn("j", F.explode(every("down")))
     test = rows.where("side = 'test'").withColumn("i", F.explode(every("across"))).withColumn("j", mine("down"))
-    both = train.select(*run, "i", "j", "node", "side", "first", "second").union(test.select(*run, "i", "j", "node", "side", "first", "second"))
-    return both.groupBy(*run, "i", "j").applyInPandas(_block, "train long, test long").distinct()
+    both = train.select(*run, "i", "j", "node", "side", "sketch").union(test.select(*run, "i", "j", "node", "side", "sketch"))
+    return both.groupBy(*run, "i", "j").applyInPandas(_block, "train long, test long")
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.RecordBatch]:

@@ -321,6 +321,27 @@ def test_large_groups_of_edited_records_meet_by_every_seed():
     assert got == want and len(want) > 10_000
 
 
+def test_records_that_share_a_phrase_are_no_candidates():
+    """Likeness about 0.3 by common phrases: such pairs grow with the square of the records, so nearly none may pass the sketch."""
+    rng = random.Random(12)
+    phrase = text(rng, 45)
+    sides = [f"{phrase} {text(rng, 50)}" for _ in range(400)]
+    batch = pa.record_batch([pa.array(["train"] * 200 + ["test"] * 200), pa.array(sides)], ["split", "text"])
+    (found,) = C._candidates(C._pack(iter([batch]), 1, "train", 1, 0.6, 1000), 1)
+    assert 0.25 < likeness(shingles(sides[0]), shingles(sides[1])) < 0.35
+    assert found.num_rows < 0.002 * 200 * 200
+
+
+def test_copies_from_many_batches_count_once():
+    """Copies of two train and two test records: four pairs, however many copies, and no seed becomes hot by them."""
+    rng = np.random.default_rng(6)
+    rows = np.zeros(4, C.ROW)
+    rows["node"], rows["sketch"] = np.arange(4), rng.integers(0, 2**63, rows["sketch"].shape[1]).astype(np.uint64)
+    a, b = np.repeat(rows[:2], 40), np.repeat(rows[2:], 40)
+    pairs, train, test = C._meet(a, b, np.zeros(0, np.uint32), 1000)
+    assert pairs.tolist() == [[0, 2], [0, 3], [1, 2], [1, 3]] and not len(train) and not len(test)
+
+
 def test_cross_split_without_rows(spark):
     empty = spark.createDataFrame([], "sample_id long, split string, prompt string, chosen string, rejected string")
     assert C.cross_split_overlaps(empty).count() == 0
