@@ -4,11 +4,11 @@ Method: tensored banding.  Two collections of ``bands`` small hash collections,
 ``width`` min-hashes, are computed for every text; a table key joins one member of the first
 collection with one of the second.  So ``bands * bands`` tables need only
 ``2 * bands * width`` min-hashes instead of ``2 * bands * bands * width``.  Candidates that
-share a key are filtered by a 64-bit one-bit sketch inside the table and then verified on
+share a key are filtered by a one-bit sketch of 192 bits inside the table and then verified on
 their exact word pairs.
 
 Layout: a map task packs the table rows of a batch into one binary blob for each target
-partition (12 + 8 bytes a row), reduces keys that are hot inside the batch, and a reduce task
+partition (12 + 24 bytes a row), reduces keys that are hot inside the batch, and a reduce task
 sorts them with numpy.  Texts equal word for word share a fingerprint and count as one node,
 so groups of copies never meet in a table more than once a batch.
 """
@@ -31,6 +31,9 @@ from prefloom.session import arrow_map, cut, ship, small
 THRESHOLD, BANDS, WIDTH = 0.6, 7, 2
 #: Bits of 64 in which two sketches must agree; at likeness 0.6 about 51 do, with a deviation of 3.2.
 AGREE = 44
+#: Words of 64 further bits in a table row, and the bits of all in which two rows of a run must agree: 136 of 192 (likeness 0.6: about 154,
+#: deviation 5.5; likeness 0.2: 115, deviation 6.8).  Without them pairs of likeness 0.1 to 0.3, of which there are quadratically many, pass.
+MORE, AGREE_ALL = 2, 136
 #: Runs up to ALL emit every pair; longer ones pair each member with NEAR neighbours in each of four
 #: sketch orders and with CENTRES members common to the run, so the rows stay linear in the run.  Their members are
 #: kept, and once components are known, those outside a run's largest component meet all others (``_rest``).
@@ -40,7 +43,7 @@ HOT_BATCH, ON = 256, 32
 #: Rows of one side of a block in that second comparison.
 SIDE = 4096
 
-ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8")])
+ROW = np.dtype([("key", "<u4"), ("node", "<u8"), ("sketch", "<u8"), ("more", "<u8", MORE)])
 HELD = np.dtype([("part", "<i4"), ("key", "<u4"), ("node", "<u8"), ("sketch", "<u8")])
 FOUND = "a long, b long, part int, key long, sketch long"
 
@@ -71,7 +74,18 @@ def table_keys(sig: np.ndarray, bands: int = BANDS, width: int = WIDTH) -> np.nd
         return W.mix(left * np.uint64(3) + right).reshape(len(sig), bands * bands)
 
 
-def near_pairs(node: np.ndarray, sketch: np.ndarray, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
+def _agreeing(node: np.ndarray, sketch: np.ndarray, more: np.ndarray | None, a: np.ndarray, b: np.ndarray, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b) of different nodes whose sketches agree, by the further bits too if they are given."""
+    apart = W.popcount(sketch[a] ^ sketch[b])
+    ok = np.flatnonzero((apart <= 64 - agree) & (node[a] != node[b]))
+    a, b = a[ok], b[ok]
+    if more is None:
+        return a, b
+    ok = apart[ok] + W.popcount(more[a] ^ more[b]).sum(axis=1) <= 64 + 64 * MORE - AGREE_ALL
+    return a[ok], b[ok]
+
+
+def near_pairs(node: np.ndarray, sketch: np.ndarray, agree: int = AGREE, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one run of nodes that share a key (indices), filtered by sketch."""
     n = len(node)
     if n <= ALL:
@@ -90,8 +104,7 @@ def near_pairs(node: np.ndarray, sketch: np.ndarray, agree: int = AGREE) -> tupl
             left.append(np.full(n, c))
             right.append(np.arange(n))
         a, b = np.concatenate(left), np.concatenate(right)
-    ok = (W.popcount(sketch[a] ^ sketch[b]) <= 64 - agree) & (node[a] != node[b])
-    return a[ok], b[ok]
+    return _agreeing(node, sketch, more, a, b, agree)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +116,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][keep], edge[1:][keep]
 
 
-def run_pairs(start: np.ndarray, end: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def run_pairs(start: np.ndarray, end: np.ndarray, node: np.ndarray, sketch: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """Distinct candidate pairs (two columns of nodes) of all runs; short runs go by length, all at once."""
     found = []
     size = end - start
@@ -113,10 +126,10 @@ def run_pairs(start: np.ndarray, end: np.ndarray, node: np.ndarray, sketch: np.n
         for block in range(0, len(at), max(1, 2_000_000 // len(i))):
             part = at[block : block + max(1, 2_000_000 // len(i))]
             a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            ok = (W.popcount(sketch[a] ^ sketch[b]) <= 64 - AGREE) & (node[a] != node[b])
-            found.append(np.stack([node[a[ok]], node[b[ok]]], axis=1))
+            a, b = _agreeing(node, sketch, more, a, b)
+            found.append(np.stack([node[a], node[b]], axis=1))
     for s, e in zip(start[size > ALL], end[size > ALL], strict=True):
-        a, b = near_pairs(node[s:e], sketch[s:e])
+        a, b = near_pairs(node[s:e], sketch[s:e], more=None if more is None else more[s:e])
         found.append(np.stack([node[s:e][a], node[s:e][b]], axis=1))
     if not found:
         return np.zeros((0, 2), np.uint64)
@@ -131,7 +144,7 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     """
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        nodes, sketches, keys = [], [], []
+        nodes, sketches, further, keys = [], [], [], []
         for s in W.chunks([texts]):
             w = W.words(texts[s])
             pairs, first = W.pairs_of(w)
@@ -140,6 +153,7 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             sig = W.minima(pairs, first, 64)[some]
             nodes.append(node[some])
             sketches.append(W.one_bit(sig))
+            further.append(W.long_sketch(pairs, first, MORE, seed=2)[some])
             keys.append(table_keys(sig))
         if not nodes:
             continue
@@ -147,11 +161,12 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         if not len(node):
             continue
         key = np.concatenate(keys)[at]
-        sketch = np.concatenate(sketches)[at]
+        sketch, more = np.concatenate(sketches)[at], np.concatenate(further)[at]
         tables = key.shape[1]
-        key, node, sketch = key.ravel(), np.repeat(node, tables), np.repeat(sketch, tables)
+        key = key.ravel()
         order = np.argsort(key, kind="stable")
-        key, node, sketch = key[order], node[order], sketch[order]
+        owner = order // tables
+        key, node, sketch, more = key[order], node[owner], sketch[owner], more[owner]
         out_part, out_blob = [], []
         # partition by the high part of the key, so that the sorted array falls into slices
         part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -159,7 +174,7 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         hot = end - start > HOT_BATCH
         if hot.any():
             keep = np.ones(len(key), dtype=bool)
-            done = run_pairs(start[hot], end[hot], node, sketch)
+            done = run_pairs(start[hot], end[hot], node, sketch, more)
             for s, e in zip(start[hot], end[hot], strict=True):
                 keep[s + np.argsort(W.mix(node[s:e]))[ON:]] = False
             out_part.append(-1)
@@ -173,10 +188,10 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             for p in np.unique(part[start[hot]]):
                 out_part.append(parts + int(p))
                 out_blob.append(key[start[hot]][part[start[hot]] == p].astype(np.uint32).tobytes())
-            key, node, sketch, part = key[keep], node[keep], sketch[keep], part[keep]
+            key, node, sketch, more, part = key[keep], node[keep], sketch[keep], more[keep], part[keep]
         edges = np.searchsorted(part, np.arange(parts + 1))
         rows = np.empty(len(key), dtype=ROW)
-        rows["key"], rows["node"], rows["sketch"] = key.astype(np.uint32), node, sketch
+        rows["key"], rows["node"], rows["sketch"], rows["more"] = key.astype(np.uint32), node, sketch, more
         for p in range(parts):
             if edges[p] < edges[p + 1]:
                 out_part.append(p)
@@ -202,10 +217,13 @@ def _candidates(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
                 held.setdefault(part, []).append(np.frombuffer(data, dtype=ROW))
     for part in list(held):
         rows = np.concatenate(held.pop(part))
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        node, sketch = np.ascontiguousarray(rows["node"]), np.ascontiguousarray(rows["sketch"])
+        rows = rows[np.lexsort((rows["node"], rows["key"]))]
+        again = np.zeros(len(rows), bool)  # copies of a text that came in several batches are one member
+        again[1:] = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
+        rows = rows[~again]
+        node, sketch, more = (np.ascontiguousarray(rows[c]) for c in ("node", "sketch", "more"))
         start, end = _runs(rows["key"])
-        yield _pair_rows(run_pairs(start, end, node, sketch))
+        yield _pair_rows(run_pairs(start, end, node, sketch, more))
         kept = end - start > ALL
         if part in hot:
             kept |= np.isin(rows["key"][start], np.concatenate(hot[part]))

@@ -179,6 +179,31 @@ def test_keys_hot_in_one_batch_keep_all_members():
     assert hot and all(got.get(k) == want[k] for k in hot)
 
 
+def packed(*batches):
+    """Pairs and members of text batches."""
+    blobs = [b for t in batches for b in N._pack(iter([pa.record_batch([pa.array(t)], ["text"])]), 1)]
+    rows = [r for b in N._candidates(iter(blobs), 1) for r in b.to_pylist()]
+    return {(r["a"], r["b"]) for r in rows if r["b"] is not None}, [r for r in rows if r["b"] is None]
+
+
+def test_texts_that_share_a_phrase_are_no_candidates():
+    """Likeness about 0.25 by a common phrase: such pairs grow with the square of the texts, so nearly none may pass the sketch."""
+    rng = random.Random(13)
+    phrase = text(rng, 33)
+    texts = [f"{phrase} {text(rng, 50)}" for _ in range(250)]
+    assert 0.2 < likeness(shingles(texts[0]), shingles(texts[1])) < 0.3
+    assert len(packed(texts)[0]) < 0.002 * 250 * 250 / 2
+
+
+def test_copies_from_many_batches_are_one_member():
+    """Copies make no run long, so its pairs are formed whole and none of its rows are kept for later."""
+    rng = random.Random(14)
+    base = text(rng, 60)
+    texts = [base, edited(rng, base, 2), edited(rng, base, 2)]
+    once, copied = packed(texts), packed(*[texts] * 40)
+    assert len(once[0]) == 3 and copied == once and not copied[1]
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, t string")
     assert N.near_duplicate_groups(empty, "id", "t").count() == 0
